@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encode, leakage, split
+from tessera.llm import encode, leakage, neardup, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("src"), "id", "content")
+    results = _table(spark, sf_dir, "search_results").select(F.lit("results").alias("src"), F.col("result_id").alias("id"), "content")
+    return chunks.union(results)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(_texts(spark, sf_dir), shingle=3, threshold=0.6)
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_groups(_texts(spark, sf_dir), shingle=3, threshold=0.6)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(_table(spark, sf_dir, "chunks")).select("chunk_id", "boundary")
 
@@ -50,6 +64,15 @@ SELECT chunk_id, CASE
 FROM big
 """
 
+_P4_FOUND = """
+WITH t AS (SELECT DISTINCT 'chunks' AS src, id, content FROM chunks UNION SELECT DISTINCT 'results', result_id, content FROM search_results),
+w AS (SELECT src, id, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM t WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT src, id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT src, id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT src, id, count(*) AS n FROM s GROUP BY 1, 2),
+p AS (SELECT a.src, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.src = b.src AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3)
+SELECT p.src, id_a, id_b FROM p JOIN n a ON a.src = p.src AND a.id = id_a JOIN n b ON b.src = p.src AND b.id = id_b WHERE c >= 0.6 * (a.n + b.n - c)
+"""
+
 _P7_FOUND = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
@@ -60,8 +83,8 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found, p5_pieces, p6_ids, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": _P5_BOUNDARY, "p7_found": _P7_FOUND}
+    return {"p4_found": _P4_FOUND, "p5_found": _P5_BOUNDARY, "p7_found": _P7_FOUND}
