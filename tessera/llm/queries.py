@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encode, leakage, neardup, split
+from tessera.llm import encode, leakage, neardup, neighbours, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_point_pairs(_table(spark, sf_dir, "points"))
+
+
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "points"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("src"), "id", "content")
     results = _table(spark, sf_dir, "search_results").select(F.lit("results").alias("src"), F.col("result_id").alias("id"), "content")
@@ -64,6 +72,14 @@ SELECT chunk_id, CASE
 FROM big
 """
 
+_P2_FOUND = """
+WITH l AS (SELECT point_id, dense FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY upserted_at DESC) AS n FROM points) WHERE n = 1),
+v AS (SELECT point_id, dense::DOUBLE[64] AS v FROM l WHERE len(dense) = 64 AND NOT list_bool_or(list_transform(dense, lambda x: isnan(x))) AND list_sum(list_transform(dense, lambda x: abs(x))) > 0),
+s AS (SELECT a.point_id AS a, b.point_id AS b, round(array_cosine_similarity(a.v, b.v), 9) AS s FROM v a JOIN v b ON a.point_id <> b.point_id),
+t AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s) WHERE n <= 5)
+SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM t
+"""
+
 _P4_FOUND = """
 WITH t AS (SELECT DISTINCT 'chunks' AS src, id, content FROM chunks UNION SELECT DISTINCT 'results', result_id, content FROM search_results),
 w AS (SELECT src, id, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM t WHERE content IS NOT NULL),
@@ -83,8 +99,8 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4_FOUND, "p5_found": _P5_BOUNDARY, "p7_found": _P7_FOUND}
+    return {"p2_found": _P2_FOUND, "p4_found": _P4_FOUND, "p5_found": _P5_BOUNDARY, "p7_found": _P7_FOUND}
