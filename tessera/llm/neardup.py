@@ -27,6 +27,8 @@ from tessera.session import checkpointed
 LEAD, WIDTH = 3, 64
 #: Probability that a pair at the threshold is missed by all rotations.
 MISS = 1e-4
+#: Standard deviations of the distance that the budget leaves to pairs at the threshold.
+SPREAD = 3.3
 #: Texts below one beginning that a task joins at once; more are joined in pairs of blocks of this size, by many tasks.
 BLOCK = 1024
 #: Ids that may be broadcast, at most.
@@ -38,9 +40,9 @@ def turns(threshold: float) -> int:
 
 
 def budget(threshold: float) -> int:
-    """Bits in which fingerprints at the threshold differ, and four standard deviations more."""
+    """Bits in which fingerprints at the threshold differ, and SPREAD standard deviations more."""
     differ = 1 - threshold
-    return math.ceil(WIDTH * differ + 4 * math.sqrt(WIDTH * (1.5 * differ - differ * differ)))
+    return math.ceil(WIDTH * differ + SPREAD * math.sqrt(WIDTH * (1.5 * differ - differ * differ)))
 
 
 @cache
