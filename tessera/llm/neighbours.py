@@ -113,8 +113,10 @@ class Tile:
         low = vectors @ _directions(vectors.shape[1])
         leaves = kd_leaves(low, max(1, len(low) // LEAF))
         order = np.concatenate(leaves)
-        self.keys, self.vectors, self.ids = keys[order], vectors[order], [ids[k] for k in order]
-        self.least = np.array([row[0] for row in self.ids])
+        self.keys, self.vectors = keys[order], vectors[order]
+        named = [ids[k] for k in order]
+        self.id_edge = np.concatenate(([0], np.cumsum([len(row) for row in named])))
+        self.flat_ids = np.concatenate([np.array(row, dtype=np.int64) for row in named])
         self.edge = np.concatenate(([0], np.cumsum([len(x) for x in leaves])))
         self.low = np.stack([low[x].min(axis=0) for x in leaves])
         self.high = np.stack([low[x].max(axis=0) for x in leaves])
@@ -155,21 +157,27 @@ class Tile:
 FOUND = "vec bigint, sim double, point_id bigint, bound double"
 
 
-def _answers(tile: Tile, keys: np.ndarray, dense: np.ndarray, bound: np.ndarray, k: int) -> pa.RecordBatch:
-    """The ``k`` nearest ids of each query; a query without any gets a row of nulls, so that its bound isn't lost."""
+def _answers(tile: Tile, keys: np.ndarray, dense: np.ndarray, bound: np.ndarray, k: int, home: bool) -> pa.RecordBatch:
+    """The ``k`` nearest ids of each query within its bound, and the bound that they leave.
+
+    At ``home`` a query without any gets a row of nulls, so that it is asked elsewhere.
+    """
     sims, rows = tile.search(keys, dense, bound, k)
-    vec, sim, ids, left = [], [], [], []
-    for key, s, r in zip(keys.tolist(), sims, rows):
-        some = r >= 0
-        s, r = s[some].round(DIGITS), r[some]
-        order = np.lexsort((tile.least[r], -s))[: k + 3]
-        found = sorted((-s[o], p) for o in order for p in tile.ids[r[o]][:k])[:k]
-        far = max(0.0, 2 - 2 * float(np.sort(s)[-k])) + 1e-9 if len(s) >= k else 4.0
-        vec += [key] * max(1, len(found))
-        sim += [-x for x, _ in found] or [None]
-        ids += [p for _, p in found] or [None]
-        left += [far] * max(1, len(found))
-    return pa.RecordBatch.from_arrays([pa.array(vec, pa.int64()), pa.array(sim, pa.float64()), pa.array(ids, pa.int64()), pa.array(left, pa.float64())], names=["vec", "sim", "point_id", "bound"])
+    left = np.minimum(bound, np.maximum(2 + 2 * np.partition(-sims, k - 1, axis=1)[:, k - 1], 0) + 1e-9)
+    query, place = np.nonzero((rows >= 0) & (2 - 2 * sims <= left[:, None] + 1e-9))
+    sim, row = sims[query, place].round(DIGITS), rows[query, place]
+    many = np.minimum(np.diff(tile.id_edge)[row], k)
+    index = np.repeat(tile.id_edge[row], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    query, sim, ids = np.repeat(query, many), np.repeat(sim, many), tile.flat_ids[index]
+    order = np.lexsort((ids, -sim, query))
+    query, sim, ids = query[order], sim[order], ids[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    query, sim, ids = query[rank < k], sim[rank < k], ids[rank < k]
+    none = np.setdiff1d(np.arange(len(keys)), query) if home else np.empty(0, np.int64)
+    gone = np.concatenate((np.zeros(len(query), bool), np.ones(len(none), bool)))
+    query = np.concatenate((query, none))
+    sim, ids = np.concatenate((sim, np.zeros(len(none)))), np.concatenate((ids, np.zeros(len(none), np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(keys[query]), pa.array(sim, mask=gone), pa.array(ids, mask=gone), pa.array(left[query])], names=["vec", "sim", "point_id", "bound"])
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -187,7 +195,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             rows = slice(at, at + 4096)
             mine = np.flatnonzero(asks[rows]) + at
             if len(mine):
-                yield _answers(tile, keys[mine], dense[mine], np.full(len(mine), 4.0), k)
+                yield _answers(tile, keys[mine], dense[mine], np.full(len(mine), 4.0), k, True)
 
     for batch in batches:
         tiles, query = batch.column("tile").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
@@ -208,7 +216,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             if tile is not None:
                 for at in range(0, part.num_rows, 4096):
                     some = part.slice(at, 4096)
-                    yield _answers(tile, some.column("vec").to_numpy(), _matrix(some.column("dense"), np.float32), some.column("bound").to_numpy(), k)
+                    yield _answers(tile, some.column("vec").to_numpy(), _matrix(some.column("dense"), np.float32), some.column("bound").to_numpy(), k, False)
     if held:
         yield from own()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encode, leakage, neardup, neighbours, split
+from tessera.llm import encode, leakage, neardup, neighbours, quality, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,14 @@ SELECT chunk_id, CASE
 FROM big
 """
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
+
+
 _P2_FOUND = """
 WITH l AS (SELECT point_id, dense FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY upserted_at DESC) AS n FROM points) WHERE n = 1),
 v AS (SELECT point_id, dense::DOUBLE[64] AS v FROM l WHERE len(dense) = 64 AND NOT list_bool_or(list_transform(dense, lambda x: isnan(x))) AND list_sum(list_transform(dense, lambda x: abs(x))) > 0),
@@ -99,7 +107,7 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
