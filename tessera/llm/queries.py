@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encode, leakage, neardup, neighbours, quality, split
+from tessera.llm import encode, leakage, neardup, neighbours, quality, scanned, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,14 @@ def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "points"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.defects(_table(spark, sf_dir, "chunks"))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repaired(_table(spark, sf_dir, "chunks"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("src"), "id", "content")
     results = _table(spark, sf_dir, "search_results").select(F.lit("results").alias("src"), F.col("result_id").alias("id"), "content")
@@ -107,7 +115,7 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_report)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p3_found, p3_repaired, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
