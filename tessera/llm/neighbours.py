@@ -22,9 +22,11 @@ from pyspark.sql.window import Window
 from tessera.session import checkpointed
 
 #: Directions of projection (even), probability with which a nearer vector is within the tested distance.
-DIMS, CONFIDENCE = 8, 0.99
+DIMS, CONFIDENCE = 8, 0.95
 #: Vectors of a tile and of a leaf, about; vectors that the tiles' tree is fitted on, at most; tiles at least.
-TILE, LEAF, SAMPLE, LEAST_TILES = 16_384, 64, 16_384, 8
+TILE, LEAF, SAMPLE, LEAST_TILES = 16_384, 192, 16_384, 8
+#: Queries that traverse a tile together.
+BLOCK = 256
 #: Digits of a similarity that count; vectors that agree in them are ordered by id.
 DIGITS = 9
 
@@ -128,8 +130,8 @@ class Tile:
         order = np.argsort(far.argmin(axis=1), kind="stable")
         keep = k + 3  # room for ties
         sims, rows = np.full((len(keys), keep), -2.0), np.full((len(keys), keep), -1)
-        for at in range(0, len(keys), 128):
-            self._block(order[at : at + 128], keys, vectors, far, bound, k, sims, rows)
+        for at in range(0, len(keys), BLOCK):
+            self._block(order[at : at + BLOCK], keys, vectors, far, bound, k, sims, rows)
         return sims, rows
 
     def _block(self, q: np.ndarray, keys: np.ndarray, vectors: np.ndarray, far: np.ndarray, bound: np.ndarray, k: int, sims: np.ndarray, rows: np.ndarray) -> None:
