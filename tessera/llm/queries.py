@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encode, leakage, neardup, neighbours, quality, scanned, split
+from tessera.llm import encode, leakage, mainbody, neardup, neighbours, quality, scanned, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.furniture_lines(_table(spark, sf_dir, "search_results"))
+
+
+def p1_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.main_bodies(_table(spark, sf_dir, "search_results"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_point_pairs(_table(spark, sf_dir, "points"))
 
@@ -115,7 +123,7 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p3_found, p3_repaired, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_report)}
+    return {f.__name__: f for f in (p1_found, p1_bodies, p2_found, p2_nearest, p3_found, p3_repaired, p4_found, p4_groups, p5_found, p5_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
