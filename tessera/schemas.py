@@ -1,0 +1,10 @@
+"""Schemas of the tables that the operators make."""
+
+from pyspark.sql.types import StructType
+
+ELEMENT = "pos int, type string, content string, level int, language string"
+CHUNK = StructType.fromDDL(
+    "id string, doc_id bigint, chunk_ord int, content string, token_count int, chunk_type string, parent_section string, section_path string, "
+    "split_sequence string, next_chunk_id string, prev_chunk_id string"
+)
+SPARSE = "struct<indices:array<int>,weights:array<float>>"
