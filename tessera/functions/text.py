@@ -13,6 +13,7 @@ NOISE_VERBS = ["is", "are", "was", "were", "has", "have", "can", "will", "shows"
 #: Patterns of citations.
 CITATIONS = [r"\([12]\d{3}\)", r"[A-Z][a-z]+,?\s+[A-Z]\.", r"et al\."]
 SENTENCE = r"[^.!?\n]+[.!?]*"
+SPACES = " \t\r\u00a0"
 
 
 def token_count(text: Column) -> Column:
@@ -27,7 +28,7 @@ def truncate(text: Column, most: int) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed sentences of a text; none for blank ones."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s, F.lit(SPACES))), lambda s: F.length(s) > 0)
 
 
 def words(text: Column) -> Column:
