@@ -80,7 +80,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, rotations: in
         tid = np.array(ids, dtype=np.int64)[keep][rows]
         two = (mix(values[:WIDTH].astype(U)) & U(3)) << ((np.arange(WIDTH, dtype=U) % U(32)) * U(2))[:, None]
         bits = [np.bitwise_or.reduce(two[k : k + 32]).view(np.int64) for k in (0, 32)]
-        key = np.zeros((rotations, len(rows)), dtype=U)
+        salt = batch.column("salt").to_numpy()[keep][rows].view(U)  # texts of other sources don't meet
+        key = np.broadcast_to(salt, (rotations, len(rows)))
         for k in range(LEAD):
             key = mix(key * U(0x9E3779B97F4A7C15) + values[k : rotations * LEAD : LEAD] + np.arange(1, rotations + 1, dtype=U)[:, None])
         columns = [key.ravel().view(np.int64), np.tile(tid, rotations), *(np.tile(b, rotations) for b in bits)]
@@ -242,7 +243,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
 
 
 def candidates(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Pairs ``a < b`` of different text ids of ``texts(tid, content)`` whose fingerprints are near."""
+    """Pairs ``a < b`` of different text ids of ``texts(tid, salt, content)`` of equal salt whose fingerprints are near."""
     most = budget(threshold)
     prints = texts.mapInArrow(partial(_fingerprints, shingle=shingle, rotations=turns(threshold)), "key bigint, tid bigint, bits_a bigint, bits_b bigint")
     found = checkpointed(prints.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_buckets, most=most), PAIRS).distinct())
@@ -277,7 +278,7 @@ def similar_texts(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) ->
     """
     rows = rows.filter(F.col("content").isNotNull()).select("src", "id", F.xxhash64("src", "content").alias("tid"), "content")
     members = rows.select("src", "id", "tid").distinct()
-    pairs = checkpointed(candidates(rows.select("tid", "content"), shingle, threshold))
+    pairs = checkpointed(candidates(rows.select("tid", F.xxhash64("src").alias("salt"), "content"), shingle, threshold))
     copies = members.groupBy("tid").count().filter("count > 1").select("tid")
     needed = checkpointed(pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).union(copies).distinct())
     few = needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

@@ -22,6 +22,8 @@ MOST_WORDS = 200_000
 BULLETS = "-*+•‣◦⁃–—·▪●☐☑☒✓✔"
 #: Marks between the columns of a table.
 BETWEEN = "|\t;,"
+#: Marks that stand seldom in texts and never part columns.
+ODD = "#$%^&*(){}[]~`@\\!?=+_"
 ENDS = ".!?…:"
 CLOSERS = "\"'”’»)]"
 
@@ -70,6 +72,7 @@ class Lines:
         gap &= ~np.concatenate(([False], gap[:-1]))
         self.gaps = count(gap) - (begin - self.start > 1)
         self.tags = count(codes == ord("<"))
+        self.odd = count(_mask(codes, ODD))
         # words of each line
         line = np.searchsorted(self.start, words.start, side="right") - 1
         self.first_word = np.searchsorted(words.start, self.start)
@@ -147,6 +150,7 @@ def line_kinds(x: Lines) -> np.ndarray:
     mean = x.letters / words
     bad = (odd > 0.45 * size) & ~table & ~x.bullet
     bad |= (mean > 14) & (x.size > 25)
+    bad |= x.odd > 0.3 * size
     bad |= (x.size >= 25) & (x.spaces == 0) & ~table  # nothing that parts words
     bad |= (x.n_words >= 9) & (share < 0.08) & ~table & ~x.bullet
     kind[bad] = 4
