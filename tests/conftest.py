@@ -26,8 +26,3 @@ def tables():
     if not folder.exists():
         pytest.skip("no test tables here")
     return str(folder)
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples."""
-    return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)
