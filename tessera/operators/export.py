@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import file_name
+from tessera.sources.html import html_to_markdown
 
 
 def export_names(pages: DataFrame, order: str, stamp: Column | None = None) -> DataFrame:
@@ -21,6 +22,18 @@ def export_names(pages: DataFrame, order: str, stamp: Column | None = None) -> D
     return rows.withColumn("n", n).withColumn("file", F.concat("base", F.when(F.col("n") > 0, F.concat(F.lit("_"), "n")).otherwise(""), F.lit(".md"))).drop("base", "n")
 
 
+def export_pages(pages: DataFrame, key: str, html: str, stamp: Column | None = None) -> DataFrame:
+    """``pages(key, url, html)`` rendered and named: key, url, markdown, error and ``file``, null where there is no markdown.
+
+    A page that can't be read has empty markdown and an error; the others are not concerned.
+    """
+    rendered = html_to_markdown(pages, key, html)
+    rows = pages.select(F.col(key).cast("string").alias(key), "url").join(rendered, key)
+    named = export_names(rows.filter(F.length("markdown") > 0), key, stamp)
+    empty = rows.filter(F.length("markdown") == 0).withColumn("file", F.lit(None).cast("string"))
+    return named.unionByName(empty)
+
+
 def write_files(pages: DataFrame, directory: str) -> None:
     """The non-empty ``markdown`` of ``pages(file, markdown)`` as text, one folder a file: written by the tasks, committed as one job."""
     pages.filter(F.length("markdown") > 0).select("file", F.col("markdown").alias("value")).write.partitionBy("file").mode("errorifexists").text(directory)

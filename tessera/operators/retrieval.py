@@ -146,3 +146,9 @@ def compress(rows: DataFrame, key: str, text: str, ratio: float = 0.5) -> DataFr
     kept = joined.withColumn("r", F.row_number().over(order)).withColumn("all", F.count("*").over(all_)).filter(F.col("r") <= F.floor(F.col("all") * ratio))
     words_ = F.array_sort(F.collect_list(F.struct("at", "word")))
     return kept.groupBy(key).agg(F.array_join(F.transform(words_, lambda x: x["word"]), " ").alias("compressed"), F.first("all").alias("words_before"), F.count("*").alias("words_after"))
+
+
+def answer(contexts: DataFrame, collection: str, limit: int) -> DataFrame:
+    """``query_id`` and the response of each context as one JSON object."""
+    body = F.struct("query_id", F.lit(collection).alias("collection_name"), "context", F.lit(limit).alias("limit"))
+    return contexts.select("query_id", F.to_json(body).alias("response"))

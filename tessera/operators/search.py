@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,13 +19,20 @@ def parse_bang(query: Column) -> tuple[Column, Column]:
     return bang, rest
 
 
-def route(requests: DataFrame) -> DataFrame:
+def without_engine(engines: Column, engine: str) -> Column:
+    """A request's engines without one; null if none is left."""
+    rest = F.array_remove(engines, engine)
+    return F.when(F.size(rest) > 0, rest)
+
+
+def route(requests: DataFrame, transform: Callable[[Column], Column] | None = None) -> DataFrame:
     """Requests with the query, engines and category that their shortcut gives them.
 
     An engine's shortcut replaces engines and category, a category's only the category.  Columns: request_id, bang,
-    query, category, engines, error (``unknown_bang`` or null).  A null query has no shortcut and stays null.
+    query, category, engines, error (``unknown_bang`` or null).  ``transform`` may rewrite the query.  A null query has no shortcut and stays null.
     """
     bang, rest = parse_bang(F.col("query_text"))
+    rest = transform(rest) if transform else rest
     given = F.when(F.size("engines") > 0, F.col("engines")).when(F.col("engine") != "", F.array("engine"))
     asked = requests.select("request_id", bang.alias("bang"), rest.alias("query"), F.col("category").alias("asked"), given.alias("given"))
     dim = bangs(requests.sparkSession).select("bang", F.col("engine").alias("bang_engine"), F.col("category").alias("bang_category"))

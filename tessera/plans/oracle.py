@@ -151,6 +151,11 @@ SQL = {
     "hybrid_search": f"""WITH {_HYBRID}
 SELECT a.query_id, coalesce(string_agg(f.content, {_text(SEPARATOR)} ORDER BY f.rerank), {_text(NO_RESULTS)}) AS context, count(f.point_id) AS n
 FROM asked a LEFT JOIN found f USING (query_id) GROUP BY 1""",
+    "collection_topk": f"""WITH {_POINTS}
+SELECT query_id, point_id, score, rank, collection_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (
+    SELECT q.point_id AS query_id, p.point_id, q.collection_name, round(array_cosine_similarity(q.dense::DOUBLE[64], p.dense::DOUBLE[64]), 6) AS score
+    FROM points_now q JOIN points_now p USING (collection_name) WHERE q.point_id % 50 = 0)) WHERE rank <= 5""",
     "context_sections": f"""WITH {_HYBRID}
 SELECT query_id, string_agg('Section: ' || coalesce(section_path, 'unknown') || chr(10) || coalesce(content, '') || chr(10), chr(10) ORDER BY rerank) AS combined
 FROM found GROUP BY 1""",

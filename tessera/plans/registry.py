@@ -116,6 +116,25 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 FLAGSHIP = hybrid_search
 
 
+@query
+def search_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship's contexts as responses."""
+    return retrieval.answer(hybrid_search(spark, d), "documents", 10)
+
+
+@query
+def collection_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Dense top-k within each collection: a query meets the points of its own collection only."""
+    points = _points(spark, d).select("point_id", "collection_name", F.col("dense").alias("vector"))
+    names = [r[0] for r in points.select("collection_name").distinct().orderBy("collection_name").limit(1000).collect()]
+    found = None
+    for name in names:  # a collection is a partition of the stored table
+        own = points.filter(F.col("collection_name") == name).select("point_id", "vector")
+        best = retrieval.dense_topk(_asking(own, "point_id").withColumnRenamed("point_id", "query_id"), own, 5).withColumn("collection_name", F.lit(name))
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
 @query
 def context_sections(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.sections_text(_reranked(spark, d)[1])
@@ -413,6 +432,14 @@ def export_filenames(spark: SparkSession, d: str) -> DataFrame:
     return export.export_names(rows, "result_id", F.lit("2026-01-30 19:45:36").cast("timestamp")).select("result_id", "file")
 
 
+@query
+def export_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents rendered from HTML, with the files that they would be written to."""
+    rows = table(spark, d, "documents").select("doc_id", "url", "text")
+    done = export.export_pages(rows, "doc_id", "text", F.lit("2026-01-30 19:45:36").cast("timestamp"))
+    return done.select("doc_id", F.md5("markdown").alias("markdown_md5"), "error", "file")
+
+
 @query
 def result_arrivals(spark: SparkSession, d: str) -> DataFrame:
     return ingest.arrivals(table(spark, d, "search_results").dropDuplicates(["result_id"]))

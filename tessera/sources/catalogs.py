@@ -26,6 +26,11 @@ CATEGORIES = [
     ("social_media", "Search social media discussions", ["!re web development"]),
     ("news", "Search news articles and current events", ["!ddn technology news", "!psn climate updates"]),
 ]
+#: Engine, seconds that it may take, largest page.
+ENGINE_LIMITS = [
+    ("openlibrary", 5.0, None), ("annas archive", 5.0, None), ("arxiv", 10.0, None), ("google scholar", 10.0, 50), ("reddit", 10.0, None),
+    ("duckduckgo news", 10.0, None), ("presearch news", 10.0, None),
+]
 #: Engines without pages, allowed ranges of time, and the largest page.
 NO_PAGES = ["reddit"]
 TIME_RANGES = ["day", "month", "year"]
@@ -37,9 +42,18 @@ def bangs(spark: SparkSession) -> DataFrame:
 
 
 def engines(spark: SparkSession) -> DataFrame:
-    """One row for each engine, with whether it can be paged."""
+    """One row for each engine, with whether it can be paged, how many seconds it may take and its largest page."""
     rows = bangs(spark).filter("engine is not null")
-    return rows.select("category", "engine", "bang", "description", (~F.col("engine").isin(NO_PAGES)).alias("paged"))
+    limits = spark.createDataFrame(ENGINE_LIMITS, "engine string, timeout double, max_page int")
+    rows = rows.select("category", "engine", "bang", "description", (~F.col("engine").isin(NO_PAGES)).alias("paged"))
+    return rows.join(F.broadcast(limits), "engine")
+
+
+def find(catalog: DataFrame, **equal: str) -> DataFrame:
+    """The rows of a catalog with the given values."""
+    for column, value in equal.items():
+        catalog = catalog.filter(F.col(column) == value)
+    return catalog
 
 
 def categories(spark: SparkSession) -> DataFrame:

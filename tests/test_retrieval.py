@@ -1,7 +1,11 @@
 from helpers import rows
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, FloatType
+import pytest
+
 from tessera.operators import retrieval as R
+from tessera.operators.models import apply_model
 
 
 def test_dense(spark):
@@ -48,3 +52,17 @@ def test_compress(spark):
     assert rows(R.compress(df, "id", "text"), "id", "compressed") == [(1, "rare word"), (2, "the")]
     t = df.select("id", R.compression_target(F.lit(2000), 0.5, None, 512).alias("a"), R.compression_target(F.lit(9), None, 900, 512).alias("b")).first()
     assert (t.a, t.b) == (256, 256)
+
+
+def test_models(spark):
+    df = spark.createDataFrame([(k, "x" * k) for k in range(5)], "id int, text string")
+    encoded = apply_model(df, ["text"], "dense", ArrayType(FloatType()), lambda: lambda texts: [[float(len(t))] for t in texts], 2)
+    assert rows(encoded, "id", "dense") == [(k, [float(k)]) for k in range(5)]
+    with pytest.raises(Exception, match="1 outputs for"):
+        apply_model(df.coalesce(1), ["text"], "dense", ArrayType(FloatType()), lambda: lambda texts: [[1.0]]).collect()
+    assert apply_model(df.limit(0), ["text"], "y", FloatType(), lambda: None).count() == 0
+
+
+def test_answer(spark):
+    df = spark.createDataFrame([(1, "c", 1)], "query_id bigint, context string, n int")
+    assert R.answer(df, "docs", 3).first().response == '{"query_id":1,"collection_name":"docs","context":"c","limit":3}'

@@ -68,3 +68,16 @@ def test_engines_without_pages(spark):
 def test_normalise(spark):
     row = S.normalise(results(spark, 1)).first()
     assert (row.title, row.category, row.score) == ("", "general", 0.0)
+
+
+def test_engines_taken_out_and_queries_rewritten(spark):
+    df = requests(spark, dict(query_text="!ol A B", engines=["arxiv", "reddit"]), dict(engines=["reddit"]))
+    assert [r[0] for r in df.select(S.without_engine(F.col("engines"), "reddit")).collect()] == [["arxiv"], None]
+    assert S.route(df, F.lower).filter("request_id = 0").first().query == "a b"
+
+
+def test_backoff_and_gaps(spark):
+    df = spark.createDataFrame([(0,), (3,)], "attempts int")
+    assert [list(r.waits) for r in S.backoff(df, 1.0, 2.0).orderBy("attempts").collect()] == [[], [1.0, 2.0, 4.0]]
+    times = spark.sql("select 1 as k, timestamp'2025-01-01 00:00:00' as t union all select 1, timestamp'2025-01-01 00:00:03'")
+    assert rows(S.gaps(times, "k", "t", 5.0), "gap", "wait") == [(3.0, 2.0), (None, 0.0)]
