@@ -19,7 +19,7 @@ _POINTS = """points_now AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY upserted_at DESC) AS rn FROM points)
   WHERE rn = 1 AND len(dense) = 64 AND NOT list_bool_or(list_transform(dense, lambda x: isnan(x))) AND list_sum(list_transform(dense, lambda x: abs(x))) > 0)"""
 _CHUNKS = """chunks_now AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM chunks) WHERE rn = 1)"""
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, content DESC) AS rn FROM chunks) WHERE rn = 1)"""
 
 
 def _ranked(rows: str, k: int = 10) -> str:

@@ -29,14 +29,15 @@ def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
-def _points(spark: SparkSession, d: str) -> DataFrame:
-    """The newest state of each point whose dense vector is usable."""
-    rows = latest(table(spark, d, "points"), "point_id", "upserted_at", "collection_name", "chunk_id", "document_id", "dense", "sparse")
+def _points(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The newest state of each point whose dense vector is usable, with ``dense`` and the columns asked for."""
+    rows = latest(table(spark, d, "points"), "point_id", "upserted_at", "dense", *columns)
     return rows.filter(V.usable(F.col("dense"), 64))
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "chunks"), "id", "ingested_at", "document_id", "content", "token_count", "chunk_type", "parent_section", "section_path", "split_sequence", "next_chunk_id", "prev_chunk_id")
+def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The newest state of each chunk, with the columns asked for."""
+    return latest(table(spark, d, "chunks"), "id", "ingested_at", *columns)
 
 
 def _asking(rows: DataFrame, key: str) -> DataFrame:
@@ -70,7 +71,7 @@ def dense_topk_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sparse_topk_points(spark: SparkSession, d: str) -> DataFrame:
-    return _sparse(_points(spark, d))
+    return _sparse(_points(spark, d, "sparse"))
 
 
 @query
@@ -87,14 +88,13 @@ def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    points = _points(spark, d)
-    return retrieval.fuse([_dense(points), _sparse(points)])
+    return retrieval.fuse([_dense(_points(spark, d)), _sparse(_points(spark, d, "sparse"))])
 
 
 def _reranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Queries (query_id, query) and their fused candidates with contents, reranked."""
-    points = checkpointed(_points(spark, d))
-    chunks = _chunks(spark, d).select(F.col("id").alias("chunk_id"), "content", "section_path")
+    points = checkpointed(_points(spark, d, "chunk_id", "sparse"))
+    chunks = _chunks(spark, d, "content", "section_path").select(F.col("id").alias("chunk_id"), "content", "section_path")
     asked = _asking(points, "point_id").join(chunks, "chunk_id", "left").select(F.col("point_id").alias("query_id"), F.coalesce("content", F.lit("")).alias("query"))
     fused = retrieval.fuse([_dense(points), _sparse(points)])
     with_text = fused.join(points.select("point_id", "chunk_id"), "point_id").join(chunks, "chunk_id").join(asked, "query_id")
@@ -125,7 +125,7 @@ def search_answers(spark: SparkSession, d: str) -> DataFrame:
 @query
 def collection_topk(spark: SparkSession, d: str) -> DataFrame:
     """Dense top-k within each collection: a query meets the points of its own collection only."""
-    points = _points(spark, d).select("point_id", "collection_name", F.col("dense").alias("vector"))
+    points = _points(spark, d, "collection_name").select("point_id", "collection_name", F.col("dense").alias("vector"))
     names = [r[0] for r in points.select("collection_name").distinct().orderBy("collection_name").limit(1000).collect()]
     found = None
     for name in names:  # a collection is a partition of the stored table
@@ -183,7 +183,7 @@ def vector_dims(spark: SparkSession, d: str) -> DataFrame:
 @query
 def vector_join_check(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with, and without, a usable stored point, by collection of their upload."""
-    points = _points(spark, d).select("chunk_id").distinct().withColumn("stored", F.lit(1))
+    points = _points(spark, d, "chunk_id").select("chunk_id").distinct().withColumn("stored", F.lit(1))
     chunks = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "document_id").distinct()
     names = table(spark, d, "uploads").select("document_id", "collection_name").distinct()
     rows = chunks.join(points, "chunk_id", "left").join(names, "document_id", "left")
@@ -301,7 +301,7 @@ def chunk_states(spark: SparkSession, d: str) -> DataFrame:
     part = F.try_to_number(F.regexp_extract("split_sequence", r"^(\d+)/(\d+)$", 1), F.lit("999999")).cast("int")
     parts = F.try_to_number(F.regexp_extract("split_sequence", r"^(\d+)/(\d+)$", 2), F.lit("999999")).cast("int")
     tokens = T.token_count(F.col("content"))
-    return _chunks(spark, d).select(
+    return _chunks(spark, d, "document_id", "content", "token_count", "chunk_type", "split_sequence").select(
         "id", "document_id", F.lower("chunk_type").alias("chunk_type"), tokens.alias("tokens"),
         (~F.col("token_count").eqNullSafe(tokens)).alias("stale"), part.alias("part"), parts.alias("parts"),
     )
@@ -310,7 +310,7 @@ def chunk_states(spark: SparkSession, d: str) -> DataFrame:
 @query
 def chunk_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Links between chunks that another chunk answers, and those that dangle."""
-    rows = _chunks(spark, d).select("id", "next_chunk_id", "prev_chunk_id")
+    rows = _chunks(spark, d, "next_chunk_id", "prev_chunk_id")
     following = rows.select(F.col("id").alias("next_chunk_id"), F.col("prev_chunk_id").alias("back"))
     joined = rows.filter("next_chunk_id is not null").select("id", "next_chunk_id").join(following, "next_chunk_id", "left")
     return joined.select("id", "next_chunk_id", F.when(F.col("back") == F.col("id"), "mutual").when(F.col("back").isNull(), "dangling").otherwise("other").alias("link"))
@@ -319,7 +319,7 @@ def chunk_neighbours(spark: SparkSession, d: str) -> DataFrame:
 @query
 def upload_summary(spark: SparkSession, d: str) -> DataFrame:
     """Uploads with the chunks and characters that they really have, and whether their name is accepted."""
-    have = _chunks(spark, d).groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("chars"))
+    have = _chunks(spark, d, "document_id", "content").groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(F.length(F.coalesce("content", F.lit("")))).alias("chars"))
     rows = table(spark, d, "uploads").join(have, "document_id", "left")
     return rows.select(
         "document_id", "collection_name", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("chars", F.lit(0)).alias("chars"),
@@ -335,8 +335,8 @@ def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
 @query
 def payloads(spark: SparkSession, d: str) -> DataFrame:
     """The points of each chunk as they are served: content and metadata."""
-    chunks = _chunks(spark, d).select(F.col("id").alias("chunk_id"), "content", "chunk_type", "section_path")
-    points = _points(spark, d).select("point_id", "collection_name", "chunk_id")
+    chunks = _chunks(spark, d, "content", "chunk_type", "section_path").select(F.col("id").alias("chunk_id"), "content", "chunk_type", "section_path")
+    points = _points(spark, d, "collection_name", "chunk_id").select("point_id", "collection_name", "chunk_id")
     return collections.payload(points.join(chunks, "chunk_id"))
 
 
