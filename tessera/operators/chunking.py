@@ -97,42 +97,43 @@ def pack(rows: DataFrame, most: int) -> DataFrame:
     """
     rows = rows.filter(~is_noise(F.col("content"))).withColumn("tokens", token_count(F.col("content")))
     rows = rows.withColumn("special", (F.col("tokens") > most) | F.col("type").isin("code_block", "table"))
-    # the buffer that each small element falls into, by a fold over its section
-    item = F.array_sort(F.collect_list(F.struct("pos", "special", "tokens")))
-    kind = "struct<out:array<struct<pos:int,buffer:int>>,buffer:int,t:int>"
+    # the buffer that each element falls into, by a fold over its section; a special element has one for itself
+    kind = "struct<out:array<int>,buffer:int,t:int>"
 
     def step(s: Column, e: Column) -> Column:
         fits = s["t"] + e["tokens"] <= most
         at = F.when(e["special"] | ~fits, s["buffer"] + 1).otherwise(s["buffer"])
-        out = F.concat(s["out"], F.array(F.struct(e["pos"].alias("pos"), at.alias("buffer"))))
         t = F.when(e["special"], F.lit(0)).when(fits, s["t"] + e["tokens"]).otherwise(e["tokens"])
-        return F.struct(out.alias("out"), F.when(e["special"], at + 1).otherwise(at).alias("buffer"), t.alias("t")).cast(kind)
+        after = F.when(e["special"], at + 1).otherwise(at)
+        return F.struct(F.concat(s["out"], F.array(at)).alias("out"), after.alias("buffer"), t.alias("t")).cast(kind)
 
-    start = F.struct(F.array().cast("array<struct<pos:int,buffer:int>>").alias("out"), F.lit(0).alias("buffer"), F.lit(0).alias("t")).cast(kind)
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("buffer"), F.lit(0).alias("t")).cast(kind)
     keys = ["doc_id", "section_ord"]
-    placed = rows.groupBy(*keys).agg(F.aggregate(item, start, step, lambda s: s["out"]).alias("placed")).select(*keys, F.inline("placed"))
-    rows = rows.join(placed, [*keys, "pos"])
-
-    small = rows.filter("not special").groupBy(*keys, "buffer").agg(
+    columns = ["pos", "special", "tokens", "type", "content", "language"]
+    grouped = rows.groupBy(*keys).agg(
+        F.first("section_path").alias("section_path"), F.first("parent_section").alias("parent_section"), F.array_sort(F.collect_list(F.struct(*columns))).alias("items")
+    )
+    buffers = F.aggregate("items", start, step, lambda s: s["out"])
+    placed = F.zip_with("items", buffers, lambda e, at: F.struct(*(e[c].alias(c) for c in columns), at.alias("buffer")))
+    placed = grouped.select(*keys, "section_path", "parent_section", F.inline(placed))
+
+    inner = F.array_sort(F.collect_list(F.struct("pos", "content")))
+    chunks = placed.groupBy(*keys, "buffer").agg(
         F.min("pos").alias("pos"), F.first("section_path").alias("section_path"), F.first("parent_section").alias("parent_section"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n\n").alias("content"),
-    )
-    small = small.select(
-        *keys, "pos", F.lit(1).alias("part"), F.lit(1).alias("parts"), "content", token_count(F.col("content")).alias("token_count"),
-        F.lit("text").alias("chunk_type"), "section_path", "parent_section",
+        F.first("special").alias("special"), F.first("type").alias("type"), F.first("language").alias("language"),
+        F.array_join(F.transform(inner, lambda x: x["content"]), "\n\n").alias("content"),
     )
-    content, type_ = F.col("content"), F.col("type")
-    cut = F.when(type_ == "table", split_table(content, most)).when(type_ == "code_block", split_code(content, most))
+    content, type_, special = F.col("content"), F.col("type"), F.col("special")
+    cut = F.when(~special, whole(content)).when(type_ == "table", split_table(content, most)).when(type_ == "code_block", split_code(content, most))
     cut = cut.when(type_ == "list", split_list(content, most)).otherwise(split_text(content, most))
-    name = F.when(type_ == "table", "table").when(type_ == "code_block", F.concat(F.lit("code_"), F.coalesce("language", F.lit("unknown"))))
-    name = name.when(type_ == "list", "list").otherwise("text")
-    large = rows.filter("special").select(*keys, "pos", name.alias("chunk_type"), "section_path", "parent_section", cut.alias("cut"))
-    large = large.select(*keys, "pos", "chunk_type", "section_path", "parent_section", F.size("cut").alias("parts"), F.posexplode("cut").alias("part", "c"))
-    large = large.select(
+    name = F.when(~special, "text").when(type_ == "table", "table")
+    name = name.when(type_ == "code_block", F.concat(F.lit("code_"), F.coalesce("language", F.lit("unknown")))).when(type_ == "list", "list").otherwise("text")
+    cuts = chunks.select(*keys, "pos", name.alias("chunk_type"), "section_path", "parent_section", cut.alias("cut"))
+    cuts = cuts.select(*keys, "pos", "chunk_type", "section_path", "parent_section", F.size("cut").alias("parts"), F.posexplode("cut").alias("part", "c"))
+    return cuts.select(
         *keys, "pos", (F.col("part") + 1).alias("part"), "parts", F.col("c.content").alias("content"), F.col("c.tokens").alias("token_count"),
         "chunk_type", "section_path", "parent_section",
     )
-    return small.unionByName(large)
 
 
 def link(packed: DataFrame) -> DataFrame:
