@@ -135,7 +135,8 @@ def _of_type(kind: str) -> str:
 
 _UNNEST = "SELECT id, k, l[k] AS piece FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT id, {} AS l FROM big))"
 _TABLE_LINES = "string_split(trim(content, ' ' || chr(10) || chr(9) || chr(13)), chr(10))"
-_ITEM_MARK = "^\\s*([-*+] |\\d+\\.\\s)"
+_ITEM = "([-*+] |\\d+\\.\\s)"
+_ITEMS = f"list_filter(string_split(regexp_replace(content, '\\n(\\s*{_ITEM})', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_matches(x, '^\\s*{_ITEM}'))"
 
 SQL = {
     "dense_topk": _ranked("""
@@ -178,6 +179,18 @@ FROM c LEFT JOIN (SELECT DISTINCT chunk_id FROM points_now) s ON s.chunk_id = c.
     "text_split_greedy": _split("SELECT doc_id AS id, text AS content FROM documents WHERE text IS NOT NULL", _UNNEST.format(_SENTENCES.format("content")), f"len({_SENTENCES.format('content')}) = 0", " ", 128, "doc_id", alone=True),
     "table_split": _split(_of_type("table"), f"SELECT id, k, l[k + 2] AS piece, l[1] || chr(10) || l[2] AS head FROM (SELECT id, l, unnest(range(1, len(l) - 1)) AS k FROM (SELECT id, {_TABLE_LINES} AS l FROM big))", f"len({_TABLE_LINES}) < 3", "\n", 64, "id", header=True),
     "code_split": _split(_of_type("code"), _UNNEST.format("string_split(content, chr(10))"), "false", "\n", 64, "id"),
+    "list_split": _split(_of_type("list"), _UNNEST.format(_ITEMS), f"len({_ITEMS}) = 0", "\n", 64, "id"),
+    "compress_extractive": """
+WITH w AS (SELECT doc_id, l[k] AS word, k FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (
+  SELECT doc_id, list_filter(regexp_split_to_array(trim(text, ' '), '\\s+'), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL))),
+n AS (SELECT lower(word) AS w, count(*) AS n FROM w GROUP BY 1),
+r AS (SELECT doc_id, word, k, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS r, count(*) OVER (PARTITION BY doc_id) AS total FROM w JOIN n ON n.w = lower(word))
+SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS compressed, any_value(total) AS words_before, count(*) AS words_after, round(count(*) / any_value(total), 6) AS ratio
+FROM r WHERE r <= floor(total * 0.5) GROUP BY 1""",
+    "query_embeddings": f"""
+WITH p AS (SELECT request_id, ('0x' || md5(w)[1:8])::BIGINT % 64 AS place FROM (SELECT request_id, unnest({_WORDS.format('query_text')}) AS w FROM search_requests WHERE query_text IS NOT NULL)),
+c AS (SELECT request_id, place, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT request_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY request_id)), 6) AS value FROM c""",
     "chunk_states": f"""WITH {_CHUNKS}
 SELECT id, document_id, lower(chunk_type) AS chunk_type, length(content) // 4 AS tokens, token_count IS DISTINCT FROM length(content) // 4 AS stale,
   try_cast(nullif(regexp_extract(split_sequence, '^(\\d+)/(\\d+)$', 1), '') AS INTEGER) AS part, try_cast(nullif(regexp_extract(split_sequence, '^(\\d+)/(\\d+)$', 2), '') AS INTEGER) AS parts
