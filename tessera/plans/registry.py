@@ -175,9 +175,9 @@ def query_embeddings(spark: SparkSession, d: str) -> DataFrame:
 @query
 def vector_dims(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "points")
-    terms = retrieval.postings(rows, "point_id").groupBy().agg(F.countDistinct("term").alias("terms"))
+    terms = retrieval.postings(rows, "point_id").agg(F.countDistinct("term")).first()[0]  # one number
     dims = rows.groupBy(F.coalesce(F.size("dense"), F.lit(-1)).alias("dims")).agg(F.count("*").alias("points"))
-    return dims.join(F.broadcast(terms))  # one row
+    return dims.withColumn("terms", F.lit(terms).cast("bigint"))
 
 
 @query
