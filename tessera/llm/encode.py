@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tessera.llm.arrays import list_array, slices
+from tessera.session import spread
 
 #: Public files of tokenizers; a parameter of every function below.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -184,4 +185,4 @@ def encode_corpus(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, name
     text.  Rows that occur twice come out twice, an empty table gives an empty one; further columns are ignored.
     """
     path = str(Path(tokenizer_dir) / f"{name}.tiktoken")
-    return documents.select("doc_id", "text").mapInArrow(partial(_encode, path=path), "doc_id bigint, ids array<int>")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(partial(_encode, path=path), "doc_id bigint, ids array<int>")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import U, Words, list_array, mix, slices
-from tessera.session import checkpointed
+from tessera.session import checkpointed, spread
 
 #: Minimum hashes that begin a rotation, and those that give two bits each to the fingerprint.
 LEAD, WIDTH = 3, 64
@@ -278,7 +278,8 @@ def similar_texts(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) ->
     """
     rows = rows.filter(F.col("content").isNotNull()).select("src", "id", F.xxhash64("src", "content").alias("tid"), "content")
     members = rows.select("src", "id", "tid").distinct()
-    pairs = checkpointed(candidates(rows.select("tid", F.xxhash64("src").alias("salt"), "content"), shingle, threshold))
+    texts = spread(rows, "src", "id").select("tid", F.xxhash64("src").alias("salt"), "content")
+    pairs = checkpointed(candidates(texts, shingle, threshold))
     copies = members.groupBy("tid").count().filter("count > 1").select("tid")
     needed = checkpointed(pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).union(copies).distinct())
     few = needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import Words, slices
+from tessera.session import spread
 
 #: Common words that may be shipped to the tasks, at most.
 MOST_WORDS = 200_000
@@ -204,7 +205,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     for row in rows:
         by.setdefault(row["lang"], []).append(row["word"])
     languages = [np.unique(Words([" ".join(by[k])]).hash) for k in sorted(by, key=str)]
-    return documents.select("doc_id", "text").mapInArrow(partial(_statistics, languages=languages), f"doc_id bigint, {STATS}")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(partial(_statistics, languages=languages), f"doc_id bigint, {STATS}")
 
 
 #: Rule by rule: name, and the condition under which a text fails it.
