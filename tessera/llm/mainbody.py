@@ -5,30 +5,35 @@ score is the sum of its weights, and one linear scan finds the contiguous region
 the same scores, with the sign turned, take out furniture that stands between paragraphs.
 
 Nobody labels the pages by hand: in a bounded sample of pages, a line that several sites share is furniture, a whole
-sentence that stands on one page only is article.  Lines after which other pages' titles follow are learned likewise.
+sentence that stands on one page only is article.  Lines known as furniture, and lines after which other pages' titles
+follow, are counted over all pages by hashes of lines, and joined back to the pages that have them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import slices
-from tessera.session import spread
+from tessera.llm.arrays import list_array, slices
+from tessera.session import checkpointed, spread
 
-#: Pages that the weights are fitted on, about; weights and openers that are shipped to the tasks, at most.
-SAMPLE_PAGES, WEIGHTS, OPENERS = 4_000, 20_000, 5_000
+#: Pages that the weights are fitted on, about; weights that are shipped to the tasks, at most.
+SAMPLE_PAGES, WEIGHTS = 4_000, 20_000
 #: Sites that share a line of furniture; times that a line must be seen to be judged as an opener, and the share of titles after it.
 SITES, SEEN, OPENS = 3, 4, 0.6
-#: Sites that make a line known furniture wherever it stands, or fewer sites and so many pages; known lines that are shipped, at most.
-KNOWN_SITES, FEW_SITES, MANY_PAGES, KNOWN = 5, 2, 8, 5_000
+#: Sites that make a line known furniture wherever it stands, or fewer sites and so many pages.
+KNOWN_SITES, FEW_SITES, MANY_PAGES = 5, 2, 8
+#: Bits of a line's form: a whole sentence, what could be a title.
+SENTENCE, TITLE = 1, 2
 #: Score from which a sentence outside the region is article.
 KEEP = 3.0
 #: A weight at most; the weight from which a token of a sentence counts for the article; the scores below which a
@@ -36,7 +41,8 @@ KEEP = 3.0
 CLIP, LEVEL, CUT_SENTENCE, CUT = 3.0, 0.9, 0.0, -2.0
 
 WORD = re.compile(r"[^\W_]+|©|®|›|»|·|\||→|…|@")
-END = re.compile(r"[.!?:][\"'”’»)]*$")
+CLOSING = "\"'”’»)"
+NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 LINK = re.compile(r"\[[^\]]*\]\([^)]*\)")
 BULLET = re.compile(r"(?:[-*+•‣▪–]|\d{1,3}[.)]|[a-z][.)])\s+")
 SEPARATORS = re.compile(r"\s[|·›»>/•–—-]\s")
@@ -44,8 +50,8 @@ SEPARATORS = re.compile(r"\s[|·›»>/•–—-]\s")
 
 def normal(line: str, site: str) -> str:
     """A line with numbers as 0 and words of the site's name as @."""
-    words = re.sub(r"\s+", " ", re.sub(r"\d+(?:[.,]\d+)*", "0", line.strip().lower())).split(" ")
-    return " ".join("@" if len(w) > 3 and w.strip(".,:;·|()'’s") in site else w for w in words)
+    words = NUMBER.sub("0", line.lower()).split()
+    return " ".join(["@" if len(w) > 3 and w.strip(".,:;·|()'’s") in site else w for w in words])
 
 
 def site_name(host: str | None, url: str | None) -> str:
@@ -53,13 +59,17 @@ def site_name(host: str | None, url: str | None) -> str:
     return re.sub(r"[^a-z]+", " ", host.lower())
 
 
+def has_end(line: str) -> bool:
+    return line.rstrip(CLOSING).endswith((".", "!", "?", ":"))
+
+
 def is_sentence(line: str) -> bool:
-    return bool(END.search(line)) and not line.endswith(("...", "…", ":")) and len(line.split()) >= 6
+    return has_end(line) and not line.endswith(("...", "…", ":")) and len(line.split()) >= 6
 
 
 def is_title(line: str) -> bool:
     """Whether a line could be a title: a link, or some words without the end of a sentence."""
-    return not END.search(line) and 2 <= len(line.split()) <= 16 or bool(LINK.search(line)) or line.endswith(("...", "…"))
+    return not has_end(line) and 2 <= len(line.split()) <= 16 or bool(LINK.search(line)) or line.endswith(("...", "…"))
 
 
 def tags(line: str, before: bool, after: bool) -> list[str]:
@@ -68,7 +78,7 @@ def tags(line: str, before: bool, after: bool) -> list[str]:
     n = len(words)
     first = line[:1]
     out = [f"<words {min(n, 4) if n < 5 else 6 if n < 8 else 9 if n < 12 else 12 if n < 20 else 20}>"]
-    out.append("<end ...>" if line.endswith(("...", "…")) else "<end .>" if re.search(r"[.!?][\"'”’»)]*$", line) else "<end :>" if line.endswith(":") else "<no end>")
+    out.append("<end ...>" if line.endswith(("...", "…")) else "<end .>" if line.rstrip(CLOSING).endswith((".", "!", "?")) else "<end :>" if line.endswith(":") else "<no end>")
     if LINK.search(line):
         out.append("<link>")
     if BULLET.match(line):
@@ -103,8 +113,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["page", "site", "line", "tokens", "sentence", "title", "next"])
 
 
-def fit(pages: DataFrame) -> tuple[dict[str, float], frozenset[str], frozenset[str]]:
-    """Weights of tokens, the lines that open a list of other pages, and lines known as furniture, from a sample of about ``SAMPLE_PAGES`` pages."""
+def fit(pages: DataFrame) -> dict[str, float]:
+    """Weights of tokens, from a sample of about ``SAMPLE_PAGES`` pages."""
     share = min(1.0, SAMPLE_PAGES / max(1, pages.select("result_id").count()))
     sample = pages.filter(F.pmod(F.xxhash64("result_id"), F.lit(1_000_000)) < share * 1_000_000)
     schema = "page string, site string, line string, tokens array<string>, sentence boolean, title boolean, next string"
@@ -122,17 +132,59 @@ def fit(pages: DataFrame) -> tuple[dict[str, float], frozenset[str], frozenset[s
     good, bad = total.get(0, 0) + 1.0, total.get(1, 0) + 1.0
     odds = lambda r: math.log((r["good"] + 0.3) / good) - math.log((r["bad"] + 0.3) / bad)
     weights = {r["token"]: round(max(-CLIP, min(CLIP, odds(r))), 3) for r in rows}
-    following = seen.select(F.col("line").alias("next"), F.col("sites").alias("next_sites"))
-    titles = lines.select("line", F.col("title").alias("next_title")).groupBy("line").agg(F.max("next_title").alias("next_title")).withColumnRenamed("line", "next")
-    opened = lines.filter("not sentence").join(following, "next", "left").join(titles, "next", "left")
-    opener = F.coalesce(F.col("next_title") & (F.col("next_sites") < SITES), F.lit(False)).cast("int")
-    openers = opened.groupBy("line").agg(F.avg(opener).alias("opens"), F.count("*").alias("n"), F.countDistinct("site").alias("sites"))
-    openers = openers.filter((F.col("n") >= SEEN) & (F.col("sites") >= SITES) & (F.col("opens") >= OPENS)).orderBy(F.desc("n"), "line").limit(OPENERS)
-    shared = (F.col("sites") >= KNOWN_SITES) | ((F.col("sites") >= FEW_SITES) & (F.col("pages") >= MANY_PAGES))
-    known = seen.filter(shared).orderBy(F.desc("sites"), "line").limit(KNOWN)
-    found = weights, frozenset(r["line"] for r in openers.collect()), frozenset(r["line"] for r in known.collect())
     lines.unpersist()
-    return found
+    return weights
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row its lines in order: a hash of the line without numbers and site, 0 for a blank line, and bits of its form."""
+    digest = lambda x: hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    for batch in slices(batches, "content"):
+        sites, found, forms, counts = [], [], [], []
+        for host, url, text in zip(*(batch.column(c).to_pylist() for c in ("host", "url", "content"))):
+            site = site_name(host, url)
+            lines = [x.strip() for x in text.split("\n")]
+            sites.append(digest(site))
+            found += [digest(normal(x, site)) if x else bytes(8) for x in lines]
+            forms += [is_sentence(x) * SENTENCE + is_title(x) * TITLE if x else 0 for x in lines]
+            counts.append(len(lines))
+        numbers = lambda x: np.frombuffer(b"".join(x), dtype="<i8")
+        columns = [batch.column("key"), batch.column("page"), pa.array(numbers(sites)), list_array(numbers(found), counts, pa.int64()), list_array(np.array(forms, np.int8), counts, pa.int8())]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "page", "site", "lines", "forms"])
+
+
+def marks(pages: DataFrame) -> DataFrame:
+    """``key``, ``openers`` and ``common``: the places of lines that open a list of other pages and of lines known as furniture, of each page that has any.
+
+    All lines of all ``pages(key, result_id, host, url, content)`` are counted; rows of one ``key`` count once, and a
+    line counts once for each ``result_id`` of a site.
+    """
+    rows = pages.select("key", F.xxhash64("result_id").alias("page"), "host", "url", "content")
+    rows = spread(rows, "key").mapInArrow(_hashes, "key bigint, page bigint, site bigint, lines array<bigint>, forms array<tinyint>")
+    rows = checkpointed(rows.dropDuplicates(["key"]))
+    of_page = rows.groupBy("page", "site").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
+    of_site = of_page.select("site", F.explode("lines").alias("line")).filter("line <> 0").groupBy("line", "site").agg(F.count("*").alias("pages"))
+    seen = of_site.groupBy("line").agg(F.count("*").alias("sites"), F.sum("pages").alias("pages"))
+    # all that is asked of a line needs two sites
+    seen = checkpointed(seen.filter(F.col("sites") >= FEW_SITES))
+    known = seen.filter((F.col("sites") >= KNOWN_SITES) | (F.col("pages") >= MANY_PAGES)).select("line", F.lit(False).alias("opens"))
+
+    shared = seen.filter(F.col("sites") >= SITES).select("line")
+    place = F.col("at") + 2  # of the next line, counted from 1
+    placed = rows.select("site", "lines", "forms", F.posexplode("lines").alias("at", "line")).filter(F.col("line") != 0)
+    placed = placed.filter(F.get("forms", "at").bitwiseAND(SENTENCE) == 0)
+    following = F.coalesce(F.try_element_at("lines", place), F.lit(0))
+    title = F.coalesce(F.try_element_at("forms", place).bitwiseAND(TITLE) != 0, F.lit(False))
+    placed = placed.select("line", "site", following.alias("next"), title.alias("title")).join(shared, "line", "left_semi")
+    other = shared.select(F.col("line").alias("next"), F.lit(True).alias("elsewhere"))
+    placed = placed.join(other, "next", "left").withColumn("opener", (F.col("title") & F.col("elsewhere").isNull()).cast("int"))
+    opened = placed.groupBy("line", "site").agg(F.sum("opener").alias("openers"), F.count("*").alias("n"))
+    opened = opened.groupBy("line").agg(F.sum("openers").alias("openers"), F.sum("n").alias("n"), F.count("*").alias("sites"))
+    opening = opened.filter((F.col("n") >= SEEN) & (F.col("sites") >= SITES) & (F.col("openers") / F.col("n") >= OPENS)).select("line", F.lit(True).alias("opens"))
+
+    hit = rows.select("key", F.posexplode("lines").alias("at", "line")).join(known.union(opening), "line")
+    at = lambda which: F.collect_list(F.when(which, F.col("at")))
+    return hit.groupBy("key").agg(at(F.col("opens")).alias("openers"), at(~F.col("opens")).alias("common"))
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -147,8 +199,8 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
-def furniture(text: str, title: str | None, site: str, weights: dict[str, float], openers: frozenset[str], common: frozenset[str]) -> list[int]:
-    """Indices of the lines of a page that aren't its article."""
+def furniture(text: str, title: str | None, site: str, weights: dict[str, float], openers: set[int], common: set[int]) -> list[int]:
+    """Indices of the lines of a page that aren't its article; ``openers`` and ``common`` are indices of lines too."""
     lines = [x.strip() for x in text.split("\n")]
     full = [k for k, x in enumerate(lines) if x]
     if len(full) < 3:
@@ -171,12 +223,12 @@ def furniture(text: str, title: str | None, site: str, weights: dict[str, float]
             opened = False
         if opened and not formed:
             other.add(k)
-        elif plain[k] in openers:
+        elif k in openers:
             opened = True
             other.add(k)
         else:
             opened = False
-        if plain[k] in common:
+        if k in common:
             other.add(k)
     for k, following in zip(full, full[1:]):  # a teaser: a title with the beginning of its text
         if lines[following].endswith(("...", "…")) and following == k + 1 and not is_sentence(lines[k]):
@@ -191,11 +243,11 @@ def furniture(text: str, title: str | None, site: str, weights: dict[str, float]
     return [k for at, k in enumerate(full) if not inside(at, k) or k in other or score[k] < (CUT_SENTENCE if is_sentence(lines[k]) else CUT)]
 
 
-def _furniture(batches: Iterator[pa.RecordBatch], weights: dict[str, float], openers: frozenset[str], common: frozenset[str], body: bool) -> Iterator[pa.RecordBatch]:
+def _furniture(batches: Iterator[pa.RecordBatch], weights: dict[str, float], body: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "content"):
         ids, numbers, texts = [], [], []
-        for page, title, host, url, text in zip(*(batch.column(c).to_pylist() for c in ("result_id", "title", "host", "url", "content"))):
-            found = furniture(text, title, site_name(host, url), weights, openers, common) if "\n" in text else []
+        for page, title, host, url, text, openers, common in zip(*(batch.column(c).to_pylist() for c in ("result_id", "title", "host", "url", "content", "openers", "common"))):
+            found = furniture(text, title, site_name(host, url), weights, set(openers or ()), set(common or ())) if "\n" in text else []
             if body:
                 gone = set(found)
                 ids.append(page)
@@ -211,8 +263,11 @@ def _furniture(batches: Iterator[pa.RecordBatch], weights: dict[str, float], ope
 
 def _run(results: DataFrame, body: bool, schema: str) -> DataFrame:
     pages = results.filter("content is not null and result_id is not null").select("result_id", "title", "host", "url", "content")
-    weights, openers, common = fit(pages.filter(F.col("content").contains("\n")))
-    return spread(pages, "result_id").mapInArrow(partial(_furniture, weights=weights, openers=openers, common=common, body=body), schema).distinct()
+    pages = pages.withColumn("key", F.xxhash64("result_id", "host", "url", "content"))
+    full = pages.filter(F.col("content").contains("\n"))
+    weights = fit(full)
+    marked = (pages if body else full).join(marks(full).hint("shuffle_hash"), "key", "left").drop("key")
+    return spread(marked, "result_id").mapInArrow(partial(_furniture, weights=weights, body=body), schema).distinct()
 
 
 def furniture_lines(results: DataFrame) -> DataFrame:

@@ -39,3 +39,19 @@ def test_empty(spark):
 
 def test_region():
     assert M.best_region([-1, 2, -1, 3, -5, 1]) == (1, 4) and M.best_region([-1.0]) == (0, 0) and M.best_region([]) == (0, 0)
+
+
+def test_lines_are_known_from_all_pages(spark, monkeypatch):
+    """Five of 200 sites share a line that has the form and words of article; no sample need show it."""
+    told = "The {} keeper of the river town told its long and quiet history again."
+    data = []
+    for k in range(200):
+        site = "site" + "".join(chr(97 + int(d)) for d in f"{k:03}")
+        lines = page(k, site.title()).split("\n")
+        lines[6] = told.format("".join(chr(97 + int(d)) for d in f"{k * 37:05}"))
+        lines[8:8] = [told.format("other"), ""] * (k % 40 == 0)
+        data.append((f"p{k}", f"Story {k} of a town", f"https://{site}.example/{k}", f"{site}.example", "\n".join(lines)))
+    df = spark.createDataFrame(data, "result_id string, title string, url string, host string, content string")
+    monkeypatch.setattr(M, "SAMPLE_PAGES", 40)
+    found = {r.result_id for r in M.furniture_lines(df).filter("line_no = 9").collect()}
+    assert found >= {f"p{k}" for k in range(0, 200, 40)}
