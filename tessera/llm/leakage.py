@@ -1,8 +1,8 @@
 """Problem 7: passages of evaluation items inside a training corpus, by greedy string tiling.
 
-Seeds of ``SEED`` successive words bring document and item together: all seeds of the items, and of a document those at
-each ``MATCH - SEED + 1``-th word, which is enough, since a common run of ``MATCH`` words holds one of them.  The pairs
-found are tiled: the longest common runs of words not yet marked, found by Karp-Rabin hashes of running length, are
+Seeds of ``SEED`` successive words bring document and item together: all seeds of the items, and of a document all
+seeds too, where tiles of ``LEAST`` words count, or those at each ``MATCH - SEED + 1``-th word, which is enough where only
+a common run of ``MATCH`` words counts, since it holds one of them.  The pairs found are tiled: the longest common runs of words not yet marked, found by Karp-Rabin hashes of running length, are
 marked again and again until none of ``LEAST`` words is left.
 """
 
@@ -100,9 +100,12 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, step: int = 1) -> DataFrame:
     """One row for each document and item that share a seed, with the tiling's figures.
 
+    With ``step`` 1 these are all that have a tile; a document's seeds at each ``step``-th word find all common runs of
+    ``SEED + step - 1`` words only.
+
     Columns: doc_id, item_id, longest (words of the longest tile), tiles, covered (words of the item in tiles), coverage
     (their share).  ``longest >= 13`` is a leak by passage; ``coverage`` also catches passages in another order, since
     tiles may stand anywhere.  Null, blank and short texts give no row; rows loaded twice count once; empty tables give
@@ -111,12 +114,12 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text").filter(F.length("text") > 0)
     items = items.select("item_id", F.col("text").alias("item")).filter(F.length("item") > 0).distinct()
     seed = "key bigint, seeds array<bigint>"
-    of_doc = spread(documents.select(F.col("doc_id").alias("key"), "text"), "key").mapInArrow(_seeds(MATCH - SEED + 1), seed)
+    of_doc = spread(documents.select(F.col("doc_id").alias("key"), "text"), "key").mapInArrow(_seeds(step), seed)
     of_item = items.select(F.col("item_id").alias("key"), F.col("item").alias("text")).mapInArrow(_seeds(1), seed)
     of_doc = of_doc.select(F.col("key").alias("doc_id"), F.explode("seeds").alias("seed"))
     of_item = of_item.select(F.col("key").alias("item_id"), F.explode("seeds").alias("seed")).distinct()
     if items.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS:
-        of_item = F.broadcast(of_item)
+        of_item = F.broadcast(of_item)  # so that a document's other seeds leave before any shuffle
         small = F.broadcast
     else:
         small = lambda df: df
@@ -129,4 +132,4 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id`` and ``item_id`` of texts with ``MATCH`` successive words in common."""
-    return find_leaks(documents, items).filter(F.col("longest") >= MATCH).select("doc_id", "item_id")
+    return find_leaks(documents, items, MATCH - SEED + 1).filter(F.col("longest") >= MATCH).select("doc_id", "item_id")

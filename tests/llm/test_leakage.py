@@ -59,6 +59,18 @@ def test_passages_in_another_order(spark):
     assert (row.longest, row.tiles, row.coverage) == (10, 4, 1.0)
 
 
+def test_short_runs_at_every_place(spark, monkeypatch):
+    """Runs of seven words, too short for each seventh word's seed to be sure of them."""
+    words = [f"w{k}" for k in range(28)]
+    runs = [words[21:], words[7:14], words[14:21], words[:7]]
+    data = [(k, " ".join(["x"] * k + [w for run in runs for w in [*run, *["y"] * 7]])) for k in range(7)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    for most in (L.BROADCAST_ITEMS, 0):
+        monkeypatch.setattr(L, "BROADCAST_ITEMS", most)
+        assert sorted((r.doc_id, r.longest, r.tiles, r.coverage) for r in L.find_leaks(df, items).collect()) == [(k, 7, 4, 1.0) for k in range(7)]
+
+
 def test_large_item_sets_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_ITEMS", 0)
     text = " ".join(f"w{k}" for k in range(20))
