@@ -68,6 +68,25 @@ def dense_topk(queries: DataFrame, points: DataFrame, k: int = 10, metric: str =
     return ranked(best, k)
 
 
+def dense_topk_within(queries: DataFrame, points: DataFrame, key: str, k: int = 10, metric: str = "Cosine") -> DataFrame:
+    """``dense_topk`` among the points of a query's own ``key``, with the key as a further column.
+
+    Any number of keys is one job: each key has as many blocks as its own points and queries need.  Rows without a key
+    belong to none and give no row.  An id is of one key.
+    """
+    size = lambda df, most, name: df.groupBy(key).agg(F.ceil(F.count("*") / F.lit(most)).alias(name))
+    # a key without queries needs no block
+    sizes = size(points, POINTS_BLOCK, "ps").join(size(queries, QUERIES_BLOCK, "qs"), key)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = points.join(sizes, key).select(key, "point_id", "vector", block("point_id", "ps").alias("p"), all_of("qs").alias("q"))
+    queries = queries.select("query_id", F.col(key).alias(key), F.col("vector").alias("vector"))  # may be rows of points
+    right = queries.join(sizes, key).select(key, "query_id", "vector", block("query_id", "qs").alias("q"), all_of("ps").alias("p"))
+    pairs = left.groupBy(key, "p", "q").cogroup(right.groupBy(key, "p", "q"))
+    best = pairs.applyInArrow(partial(_block, k=k, metric=metric), "query_id bigint, point_id bigint, score double")
+    return ranked(best, k).join(queries.select("query_id", key), "query_id")
+
+
 def postings(rows: DataFrame, key: str, sparse: str = "sparse") -> DataFrame:
     """``key, term, weight`` of each place of a sparse vector; null vectors have none."""
     pairs = F.arrays_zip(F.col(f"{sparse}.indices").alias("term"), F.col(f"{sparse}.weights").alias("weight"))

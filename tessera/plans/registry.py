@@ -124,15 +124,10 @@ def search_answers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def collection_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Dense top-k within each collection: a query meets the points of its own collection only."""
-    points = _points(spark, d, "collection_name").select("point_id", "collection_name", F.col("dense").alias("vector"))
-    names = [r[0] for r in points.select("collection_name").distinct().orderBy("collection_name").limit(1000).collect()]
-    found = None
-    for name in names:  # a collection is a partition of the stored table
-        own = points.filter(F.col("collection_name") == name).select("point_id", "vector")
-        best = retrieval.dense_topk(_asking(own, "point_id").withColumnRenamed("point_id", "query_id"), own, 5).withColumn("collection_name", F.lit(name))
-        found = best if found is None else found.unionByName(best)
-    return found
+    """Dense top-k within each collection: a query meets the points of its own collection only; points of none take no part."""
+    points = checkpointed(_points(spark, d, "collection_name").select("point_id", "collection_name", F.col("dense").alias("vector")))
+    asked = _asking(points, "point_id").withColumnRenamed("point_id", "query_id")
+    return retrieval.dense_topk_within(asked, points, "collection_name", 5).select("query_id", "point_id", "score", "rank", "collection_name")
 
 
 @query

@@ -27,6 +27,26 @@ def test_dense_in_blocks_equals_whole(spark, monkeypatch):
     assert rows(R.dense_topk(asked, points, 3)) == whole
 
 
+def test_dense_within_many_keys(spark, monkeypatch, tmp_path):
+    from tessera.plans import registry
+
+    points = spark.range(2 * 1100).select(
+        F.col("id").alias("point_id"), F.format_string("c%05d", F.expr("id div 2")).alias("collection_name"),
+        F.array(*(F.sin((F.col("id") + 1) * k) for k in range(1, 65))).cast("array<float>").alias("dense"), F.lit("2025-01-01").cast("timestamp").alias("upserted_at"),
+    )
+    points.write.parquet(f"{tmp_path}/points.parquet")
+    found = rows(registry.collection_topk(spark, str(tmp_path)), "query_id", "point_id")
+    assert found == sorted(((k, k + j) for k in range(0, 2200, 50) for j in (0, 1)), key=repr)
+    few = points.withColumnRenamed("dense", "vector").withColumn("key", F.col("point_id") % 3)
+    few = few.withColumn("key", F.when(F.col("point_id") % 10 > 0, F.col("key"))).filter("point_id < 300").select("point_id", "key", "vector")
+    asked = few.filter("point_id % 7 = 0").withColumnRenamed("point_id", "query_id")
+    whole = rows(R.dense_topk_within(asked, few, "key", 3))
+    assert {r[0] for r in whole} == {k for k in range(0, 300, 7) if k % 10}
+    monkeypatch.setattr(R, "POINTS_BLOCK", 20)
+    monkeypatch.setattr(R, "QUERIES_BLOCK", 5)
+    assert rows(R.dense_topk_within(asked, few, "key", 3)) == whole
+
+
 def test_sparse_and_fusion(spark):
     docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, None), (4, "")], "point_id bigint, text string")
     asked = spark.createDataFrame([(5, "b"), (6, "zzz")], "query_id bigint, text string")
