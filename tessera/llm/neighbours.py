@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.arrays import U, mix
 from tessera.session import checkpointed
 
 #: Directions of projection (even), probability with which a nearer vector is within the tested distance.
@@ -118,6 +119,7 @@ class Tile:
         self.keys, self.vectors = keys[order], vectors[order]
         named = [ids[k] for k in order]
         self.id_edge = np.concatenate(([0], np.cumsum([len(row) for row in named])))
+        self.first = np.array([row[0] for row in named], dtype=np.int64)
         self.flat_ids = np.concatenate([np.array(row, dtype=np.int64) for row in named])
         self.edge = np.concatenate(([0], np.cumsum([len(x) for x in leaves])))
         self.low = np.stack([low[x].min(axis=0) for x in leaves])
@@ -128,7 +130,7 @@ class Tile:
         vectors = unit(dense)
         far = box_distance(vectors @ _directions(vectors.shape[1]), self.low, self.high)
         order = np.argsort(far.argmin(axis=1), kind="stable")
-        keep = k + 3  # room for ties
+        keep = k + 3  # ties of more go by id
         sims, rows = np.full((len(keys), keep), -2.0), np.full((len(keys), keep), -1)
         for at in range(0, len(keys), BLOCK):
             self._block(order[at : at + BLOCK], keys, vectors, far, bound, k, sims, rows)
@@ -150,8 +152,11 @@ class Tile:
             both = np.concatenate((best[who], new), axis=1)
             index = np.concatenate((at[who], np.broadcast_to(row, new.shape)), axis=1)
             top = np.argpartition(-both, best.shape[1] - 1, axis=1)[:, : best.shape[1]]
+            kth = -np.partition(-np.take_along_axis(both, top, axis=1), k - 1, axis=1)[:, k - 1]
+            # where more tie with the k-th than are kept, those with the smallest ids stay; each has an id, so k of them are enough
+            for r in np.flatnonzero((kth > -1.5) & ((both >= kth[:, None] - 10.0**-DIGITS).sum(axis=1) > top.shape[1])):
+                top[r] = np.lexsort((self.first[index[r]], -both[r].round(DIGITS)))[: top.shape[1]]
             best[who], at[who] = np.take_along_axis(both, top, axis=1), np.take_along_axis(index, top, axis=1)
-            kth = -np.partition(-best[who], k - 1, axis=1)[:, k - 1]
             limit[who] = np.minimum(limit[who], np.maximum(2 - 2 * kth, 0.0) + 1e-9)
         sims[q], rows[q] = best, at
 
@@ -252,14 +257,26 @@ def valid_points(points: DataFrame) -> DataFrame:
     return latest.filter(F.col("point_id").isNotNull() & (F.size("dense") == 64) & ~bad & F.exists("dense", lambda x: x != 0))
 
 
+def _directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``vec``, a hash of the vector's direction, finer than the digits of a similarity that count."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        direction = np.rint(unit(_matrix(batch.column("dense"), np.float32)) * 1e13).astype(np.int64).view(U)
+        total = np.zeros(batch.num_rows, dtype=U)
+        for d in range(direction.shape[1]):
+            total = mix(total * U(0x100000001B3) + direction[:, d])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total.view(np.int64))], names=["point_id", "dense", "vec"])
+
+
 def nearest(points: DataFrame, k: int = 5) -> DataFrame:
     """``point_id``, ``neighbour_id``, ``similarity`` of the ``k`` other points most similar to each, by cosine.
 
     Equal similarities (to nine digits) go to the smaller id.  Rows of ``points(point_id, dense, upserted_at)`` with a
     null or unusable vector take no part; of several rows of an id the latest counts.  With ``k`` points or fewer, all
-    others come out; one point or none gives an empty result.  Copies of a vector are searched once.
+    others come out; one point or none gives an empty result.  Copies of a vector, at whatever length, are searched once.
     """
-    points = checkpointed(valid_points(points).select("point_id", "dense", F.xxhash64("dense").alias("vec")))
+    points = checkpointed(valid_points(points).select("point_id", "dense").mapInArrow(_directed, "point_id bigint, dense array<float>, vec bigint"))
     first = F.row_number().over(Window.partitionBy("vec").orderBy("point_id"))
     vectors = points.withColumn("n", first).filter(F.col("n") <= k + 1)
     vectors = vectors.groupBy("vec").agg(F.first("dense").alias("dense"), F.sort_array(F.collect_list("point_id")).alias("ids"))

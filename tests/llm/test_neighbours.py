@@ -45,6 +45,22 @@ def test_recall_and_copies(spark):
         assert found[2000 + k] == set(expected[2000 + k])
 
 
+def test_ties_of_many_directions_and_lengths(spark):
+    """More different arrays tie than a tile keeps: the smaller ids come first."""
+    at = np.eye(64, dtype=np.float32)
+    near = {1000 - k: at[0] + at[k] for k in range(1, 41)}  # all as similar to the first direction
+    tile = N.Tile(np.arange(len(near)), np.stack(list(near.values())), [[i] for i in near])
+    batch = N._answers(tile, np.array([-1]), at[:1], np.array([4.0]), 5, True)
+    assert batch.column("point_id").to_pylist() == sorted(near)[:5]
+    g = np.random.default_rng(5)
+    lines = {100 * j + 60 - s: v * s for j, v in enumerate(g.integers(-4, 5, (6, 64)).astype(np.float32)) for s in range(1, 41)}
+    found = {}
+    for r in N.nearest(spark.createDataFrame([(i, "c", v.tolist(), T[0], 0) for i, v in lines.items()], SCHEMA)).collect():
+        found.setdefault(r.point_id, []).append(r.neighbour_id)
+    expected = truth(lines)
+    assert {i: sorted(v) for i, v in found.items()} == expected
+
+
 def test_odd_points(spark):
     v = cluster(2, 3)
     bad = [None, [0.0] * 64, [float("nan")] * 64, [1.0] * 63, [float("inf")] + [1.0] * 63]
