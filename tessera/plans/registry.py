@@ -416,7 +416,7 @@ def gap_between_requests(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def retry_waits(spark: SparkSession, d: str) -> DataFrame:
-    """The waits that as many retries as a user had errors would take."""
+    """The waits that as many retries as a user had errors would take, five retries at most, as in the SQL counterpart."""
     errors = table(spark, d, "events").groupBy("user_id").agg(F.least(F.count_if(F.col("event_type") == "error"), F.lit(5)).cast("int").alias("attempts"))
     return search.backoff(errors, 1.0, 2.0).select("user_id", "attempts", F.aggregate("waits", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
