@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
+from pathlib import Path
+from typing import Any
 
 METRICS = ("Cosine", "Dot", "Euclid", "Manhattan")
 
@@ -11,6 +14,7 @@ METRICS = ("Cosine", "Dot", "Euclid", "Manhattan")
 class Chunking:
     max_tokens: int = 512
     overlap_tokens: int = 50
+    include_section_path: bool = True
 
     def __post_init__(self) -> None:
         if self.max_tokens <= 0 or not 0 <= self.overlap_tokens < self.max_tokens:
@@ -94,3 +98,49 @@ def load(settings: dict[str, dict]) -> Config:
     """A configuration from nested dictionaries, as a YAML or JSON file gives them; unknown names are errors."""
     parts = {name: SECTIONS[name](**{ALIASES.get(k, k): v for k, v in values.items()}) for name, values in settings.items()}
     return Config(**parts)
+
+
+def _read(path: str) -> dict[str, Any]:
+    """A JSON or, where PyYAML is installed, YAML file of nested settings; an empty file has none."""
+    text = Path(path).read_text("utf-8")
+    if path.endswith(".json"):
+        return json.loads(text) if text.strip() else {}
+    import yaml
+
+    return yaml.safe_load(text) or {}
+
+
+#: What a settings file that leaves them out stands for.
+FILE_CHUNKING = {"chunk_size": 256, "overlap_tokens": 30, "include_header_path": True}
+FILE_TOKEN_LIMIT, FILE_METRIC = 512, "Cosine"
+
+
+def load_file(path: str) -> Config:
+    """A configuration from a settings file; sections and names that concern servers and models are passed over."""
+    given = _read(path)
+    part = lambda name: given.get(name) or {}
+    chunking = FILE_CHUNKING | part("chunking")
+    embedding = {"token_limit": part("embedding").get("token_limit", FILE_TOKEN_LIMIT)}
+    if "model_dim" in part("embedding"):
+        embedding["dims"] = part("embedding")["model_dim"]
+    return Config(
+        chunking=Chunking(chunking["chunk_size"], chunking["overlap_tokens"], chunking["include_header_path"]),
+        embedding=Embedding(**embedding),
+        store=Store(part("qdrant").get("distance_metric", FILE_METRIC)),
+        compression=Compression(part("compression").get("compression_ratio"), part("compression").get("token_limit")),
+        fetching=load_fetching(path),
+    )
+
+
+def load_fetching(path: str) -> Fetching:
+    """The settings of fetching in a file; any fault of the file or of its values gives the defaults."""
+    try:
+        given = _read(path).get("url_fetching") or {}
+        return Fetching(given.get("max_retries", 3), given.get("retry_delay", 1.0), given.get("retry_backoff", 2.0), given.get("request_delay", 1.0))
+    except Exception:
+        return Fetching()
+
+
+def sequence_limit(known: int | None, least: int = 512, most: int = 100_000) -> int:
+    """Tokens that a model takes at once: what its tokenizer says, or ``least`` where it says nothing or a number beyond ``most``."""
+    return least if known is None or known > most else known

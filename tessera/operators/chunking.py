@@ -191,11 +191,10 @@ def overlap(chunks: DataFrame, overlap_tokens: int = 50, most: int = 512) -> Dat
 def chunk_documents(documents: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     """All chunks of ``documents(doc_id, text, ...)``.
 
-    Documents without headings have none; null and blank texts neither.  A doc_id that occurs twice is chunked as one
-    table row each only if its rows are the same; further columns are ignored.
+    Documents without headings have none; null and blank texts neither.  Rows loaded twice count once, a doc_id is taken
+    to have one text; further columns are ignored.  All steps share one partitioning by ``doc_id``.
     """
-    documents = documents.select("doc_id", "text").distinct()
-    linked = link(pack(sections(elements(documents)), config.max_tokens))
+    linked = link(pack(sections(elements(documents, once=True)), config.max_tokens))
     return overlap(linked, config.overlap_tokens, config.max_tokens)
 
 

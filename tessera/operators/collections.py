@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +28,13 @@ def store(points: DataFrame, path: str, collection: str, exists: str = "append")
 
 
 def collection_exists(spark: SparkSession, path: str, collection: str) -> bool:
+    """Whether a collection has points in the table at ``path``; false where there is no table yet, any other fault is raised."""
     try:
         stored = spark.read.parquet(path)
-    except Exception:  # no table yet
-        return False
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
     return not stored.filter(F.col("collection_name") == collection).limit(1).isEmpty()
 
 
@@ -39,6 +43,12 @@ def collection(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("collection_name") == name)
 
 
+def upload_rows(points: DataFrame, collection: str) -> DataFrame:
+    """``document_id``, ``collection_name``, ``success`` and ``chunks`` of each document among the points stored."""
+    rows = points.groupBy("document_id").agg(F.count("*").alias("chunks"))
+    return rows.select("document_id", F.lit(collection).alias("collection_name"), F.lit(True).alias("success"), "chunks")
+
+
 def payload(points: DataFrame) -> DataFrame:
     """``point_id``, ``content`` and all other columns but the vectors as one JSON object without nulls."""
     rest = [c for c in points.columns if c not in ("point_id", "content", "dense", "sparse")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,19 +74,27 @@ def parse(text: str | None) -> list[tuple[str, str, int | None, str | None]]:
     return out
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if once:
+            seen: dict[tuple, int] = {}
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")))):
+                seen.setdefault(row, k)
+            batch = batch if len(seen) == batch.num_rows else batch.take(pa.array(list(seen.values()), pa.int64()))
         for at in range(0, batch.num_rows, 256):
             some = batch.slice(at, 256)
             rows = [[dict(zip(("pos", "type", "content", "level", "language"), (k, *e))) for k, e in enumerate(parse(t))] for t in some.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(rows, KIND)], names=["doc_id", "elements"])
 
 
-def elements(documents: DataFrame) -> DataFrame:
+def elements(documents: DataFrame, once: bool = False) -> DataFrame:
     """``doc_id, pos, type, content, level, language`` of each element of ``documents(doc_id, text, ...)``.
 
-    Null, empty and blank texts have no elements; other columns are ignored.
+    Null, empty and blank texts have no elements; other columns are ignored.  A row loaded twice has its elements twice,
+    or, with ``once``, once; then all elements of a document are in one partition.
     """
     schema = "doc_id bigint, elements array<struct<pos:int,type:string,content:string,level:int,language:string>>"
-    parsed = documents.select("doc_id", "text").filter("text is not null").mapInArrow(_parse, schema)
-    return parsed.select("doc_id", F.inline("elements"))
+    parsed = documents.select("doc_id", "text").filter("text is not null").mapInArrow(partial(_parse, once=once), schema)
+    rows = parsed.select("doc_id", F.inline("elements"))
+    # copies are left out within a batch before they move, and among batches where they meet, without a further shuffle
+    return rows.repartition("doc_id").dropDuplicates() if once else rows

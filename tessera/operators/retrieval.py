@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -11,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import words
+from tessera.functions.text import token_count, words
+from tessera.session import checkpointed
 
 #: Vectors of one block of points and of one block of queries: a task multiplies one by the other.
 POINTS_BLOCK, QUERIES_BLOCK = 20_000, 2_000
+#: Postings of queries that may be broadcast, and the most frequent words whose counts are, at most.
+BROADCAST_POSTINGS, FREQUENT = 1_000_000, 50_000
 #: What stands between contents, and the answer without any.
 SEPARATOR = "\n\n---\n\n"
 NO_RESULTS = "I couldn't find any relevant information to answer your query."
@@ -94,18 +98,26 @@ def postings(rows: DataFrame, key: str, sparse: str = "sparse") -> DataFrame:
 
 
 def lexical_postings(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, term, weight``: a lexical stand-in for a sparse model, with ln(1 + tf) of each word."""
-    terms = rows.select(key, F.explode(words(F.col(text))).alias("term"))
+    """``key, term, weight``: a lexical stand-in for a sparse model, with ln(1 + tf) of each word.
+
+    Texts move once, by ``key``; words are counted, and later scored, where they then are.
+    """
+    terms = rows.select(key, text).filter(F.col(text).isNotNull()).repartition(key).select(key, F.explode(words(F.col(text))).alias("term"))
     return terms.groupBy(key, "term").agg(F.round(F.log1p(F.count("*")), 6).alias("weight"))
 
 
 def sparse_topk(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, point_id, score, rank`` by the inner product of postings queries(query_id, term, weight) and points(point_id, term, weight).
 
-    Only postings of terms that a query has are shuffled on: those of other terms fall out of the join.
+    Queries of at most ``BROADCAST_POSTINGS`` postings (counted) are broadcast: a point is then scored where its postings
+    are, since they are partitioned by ``point_id``, and a task hands on the ``k`` best of each query only, so that neither
+    a frequent term nor the pairs that share one are shuffled.  Beyond that the join is by term; a frequent term's
+    partition is split at run time (adaptive skew joins).
     """
     q = queries.select("query_id", "term", F.col("weight").cast("double").alias("qw"))
     d = points.select("point_id", "term", F.col("weight").cast("double").alias("dw"))
+    if q.limit(BROADCAST_POSTINGS + 1).count() <= BROADCAST_POSTINGS:
+        q = F.broadcast(q)
     scored = d.join(q, "term").groupBy("query_id", "point_id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), 6).alias("score"))
     return ranked(scored, k)
 
@@ -156,18 +168,61 @@ def compression_target(tokens: Column, ratio: float | None, limit: int | None, m
 def compress(rows: DataFrame, key: str, text: str, ratio: float = 0.5) -> DataFrame:
     """``key`` and its text without the words most frequent in the table, in order: an extractive stand-in for a compressor.
 
-    Of each text the ``ratio`` of its words that are rarest over all texts stay, equal ones in order of place.
+    Of each text the ``ratio`` of its words that are rarest over all texts stay, equal ones in order of place; a text that
+    keeps none gives no row.  The counts of the ``FREQUENT`` most frequent words are broadcast, so that no hot word is a
+    key of the join; of other words only a text's different ones are shuffled, and ranks are found within a text's array.
+    """
+    cut = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    texts = rows.select(key, F.posexplode(cut).alias("at", "word")).withColumn("w", F.lower("word"))
+    counted = checkpointed(texts.groupBy("w").agg(F.count("*").alias("n")))
+    frequent = counted.orderBy(F.desc("n"), "w").limit(FREQUENT)
+    spots = texts.join(F.broadcast(frequent), "w", "left")
+    seldom = spots.filter("n is null").groupBy(key, "w").agg(F.collect_list(F.struct("at", "word")).alias("spots"))
+    seldom = seldom.join(counted, "w").select(key, "n", F.inline("spots"))
+    placed = spots.filter("n is not null").select(key, "n", "at", "word").union(seldom)
+    gathered = placed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "at", "word"))).alias("words"))
+    size = F.size("words")
+    kept = F.slice("words", 1, F.greatest(F.floor(size * ratio).cast("int"), F.lit(0)))
+    done = gathered.select(key, F.array_sort(F.transform(kept, lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word")))).alias("kept"), size.cast("bigint").alias("words_before"))
+    text_ = F.array_join(F.transform("kept", lambda x: x["word"]), " ")
+    return done.filter(F.size("kept") > 0).select(key, text_.alias("compressed"), "words_before", F.size("kept").cast("bigint").alias("words_after"))
+
+
+def compress_with(rows: DataFrame, key: str, text: str, compressor: Callable[[str, int], str], ratio: float | None = 0.5, limit: int | None = None, most: int = 512) -> DataFrame:
+    """``key``, ``compressed``, ``tokens_before``, ``tokens_after`` and ``form`` of each text, by a function from a text and a number of tokens to a text.
+
+    ``form`` says what came out: the compressed ``whole``; where the function failed on a text longer than ``most`` tokens,
+    that of its ``truncated`` beginning; where it failed again, the ``original``.  A null text has a null ``form``.
     """
-    spots = rows.select(key, F.posexplode(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")).alias("at", "word"))
-    counted = spots.groupBy(F.lower("word").alias("w")).agg(F.count("*").alias("n"))
-    joined = spots.withColumn("w", F.lower("word")).join(counted, "w")
-    order, all_ = Window.partitionBy(key).orderBy("n", "at"), Window.partitionBy(key)
-    kept = joined.withColumn("r", F.row_number().over(order)).withColumn("all", F.count("*").over(all_)).filter(F.col("r") <= F.floor(F.col("all") * ratio))
-    words_ = F.array_sort(F.collect_list(F.struct("at", "word")))
-    return kept.groupBy(key).agg(F.array_join(F.transform(words_, lambda x: x["word"]), " ").alias("compressed"), F.first("all").alias("words_before"), F.count("*").alias("words_after"))
+    tokens = token_count(F.col(text))
+    asked = rows.select(key, F.col(text).alias("text"), compression_target(tokens, ratio, limit, most).alias("target"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist()):
+                tries = [] if x is None else [("whole", x)] + [("truncated", x[: most * 4])] * (len(x) // 4 > most)
+                done = (x, "original") if tries else (None, None)
+                for form, given in tries:
+                    try:
+                        done = compressor(given, target), form
+                        break
+                    except Exception:  # whatever a model raises
+                        continue
+                out.append(done)
+            texts, forms = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("text"), pa.array(texts, pa.string()), pa.array(forms, pa.string())], names=[key, "text", "compressed", "form"])
+
+    done = asked.mapInArrow(run, f"`{key}` {asked.schema[key].dataType.simpleString()}, text string, compressed string, form string")
+    return done.select(key, "compressed", token_count(F.col("text")).alias("tokens_before"), token_count(F.col("compressed")).alias("tokens_after"), "form")
+
+
+def respond(asked: DataFrame, candidates: DataFrame, processor: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``query_id``, ``query``, ``context`` and ``n`` of each of ``asked(query_id, query)``; a ``processor`` may change the reranked candidates, as a compressor does."""
+    return context(asked, processor(candidates) if processor else candidates).join(asked.select("query_id", "query"), "query_id")
 
 
 def answer(contexts: DataFrame, collection: str, limit: int) -> DataFrame:
-    """``query_id`` and the response of each context as one JSON object."""
-    body = F.struct("query_id", F.lit(collection).alias("collection_name"), "context", F.lit(limit).alias("limit"))
+    """``query_id`` and the response to each of ``contexts(query_id, query, context)`` as one JSON object."""
+    body = F.struct("query", F.lit(collection).alias("collection_name"), "context", F.lit(limit).alias("limit"))
     return contexts.select("query_id", F.to_json(body).alias("response"))

@@ -87,14 +87,41 @@ def parameters(requests: DataFrame) -> DataFrame:
     )
 
 
-def normalise(results: DataFrame) -> DataFrame:
-    """Results, each once, with empty strings and zeros for what is missing; an empty category becomes ``general``."""
+def normalise(results: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Results, each once, with empty strings and zeros for what is missing.
+
+    A missing category becomes that which its request, if given, was routed to, else ``general``.
+    """
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    category = F.coalesce(F.when(F.col("category") != "", F.col("category")), F.lit("general"))
-    return results.select(
+    rows = results.select(
         "result_id", "request_id", text("title"), text("url"), text("content"), F.lower(F.coalesce("engine", F.lit(""))).alias("engine"),
-        F.coalesce("score", F.lit(0.0)).alias("score"), category.alias("category"),
+        F.coalesce("score", F.lit(0.0)).alias("score"), F.when(F.col("category") != "", F.col("category")).alias("category"),
     ).dropDuplicates(["result_id"])
+    if requests is not None:
+        routed = route(requests).select("request_id", F.col("category").alias("routed"))
+        rows = rows.join(routed, "request_id", "left").withColumn("category", F.coalesce("category", "routed")).drop("routed")
+    return rows.select("result_id", *(c for c in rows.columns if c not in ("result_id", "category")), F.coalesce("category", F.lit("general")).alias("category"))
+
+
+def request_body(requests: DataFrame) -> DataFrame:
+    """``request_id`` and what a client sends of each request with a query: a JSON object without a filter that isn't set."""
+    filters = F.when(F.col("category") != "", F.col("category")).alias("category"), F.when(F.size("engines") > 0, F.col("engines")).alias("engines")
+    body = F.struct(F.col("query_text").alias("query"), "page", "per_page", *filters)
+    return requests.filter("query_text is not null").select("request_id", F.to_json(body).alias("body"))
+
+
+def two_decimals(score: Column) -> Column:
+    """A score that isn't negative as a reader sees it, with two decimals, halves rounded up."""
+    hundredths = F.floor(score * 100 + 0.5).cast("bigint")
+    return F.concat((hundredths / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+
+
+def _answering(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """The results of the engines that each valid request asks, with the request's engines, page and per_page."""
+    asked = route(requests).filter("error is null").join(validate(requests).filter("is_valid").select("request_id"), "request_id")
+    asked = asked.join(requests.select("request_id", "page", "per_page"), "request_id").select("request_id", "engines", "page", "per_page")
+    found = normalise(results).select("request_id", "result_id", "engine", "score")
+    return found.join(asked, "request_id").filter(F.col("engines").isNull() | F.array_contains("engines", F.col("engine")))
 
 
 def pages(requests: DataFrame, results: DataFrame) -> DataFrame:
@@ -103,11 +130,7 @@ def pages(requests: DataFrame, results: DataFrame) -> DataFrame:
     Results are those of the request's engines, if it names any, by falling score, then by id; an engine without pages
     always gives its first page.
     """
-    asked = route(requests).filter("error is null").join(validate(requests).filter("is_valid").select("request_id"), "request_id")
-    asked = asked.join(requests.select("request_id", "page", "per_page"), "request_id")
-    asked = asked.select("request_id", "engines", F.when(unpaged(F.col("engines")), 1).otherwise(F.col("page")).alias("page"), "per_page")
-    found = normalise(results).select("request_id", "result_id", "engine", "score")
-    joined = found.join(asked, "request_id").filter(F.col("engines").isNull() | F.array_contains("engines", F.col("engine")))
+    joined = _answering(requests, results).withColumn("page", F.when(unpaged(F.col("engines")), 1).otherwise(F.col("page")))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("score").desc(), "result_id"))
     ranked = joined.withColumn("rank", rank)
     on = F.col("rank").between((F.col("page") - 1) * F.col("per_page") + 1, F.col("page") * F.col("per_page"))
@@ -115,9 +138,9 @@ def pages(requests: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def responses(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """What the response to each valid request says: number_of_results, page, per_page, has_next, has_previous."""
+    """What the response to each valid request says: number_of_results (of the engines asked), page, per_page, has_next, has_previous."""
     shown = pages(requests, results).groupBy("request_id").agg(F.count("*").alias("shown"))
-    total = normalise(results).groupBy("request_id").agg(F.count("*").alias("total"))
+    total = _answering(requests, results).groupBy("request_id").agg(F.count("*").alias("total"))
     asked = route(requests).filter("error is null").join(validate(requests).filter("is_valid").select("request_id"), "request_id")
     asked = asked.join(requests.select("request_id", "page", "per_page"), "request_id").join(shown, "request_id", "left").join(total, "request_id", "left")
     shown_n = F.coalesce("shown", F.lit(0))

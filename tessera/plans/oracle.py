@@ -87,7 +87,7 @@ meta AS (
   SELECT v.request_id, v.query, v.category, coalesce(nullif(t.n, 0), coalesce(s.n, 0)) AS number_of_results, v.page, v.per_page,
     NOT v.unpaged AND coalesce(s.n, 0) = v.per_page AS has_next, v.page > 1 AS has_previous
   FROM valid v LEFT JOIN (SELECT request_id, count(*) AS n FROM shown GROUP BY 1) s USING (request_id)
-  LEFT JOIN (SELECT request_id, count(*) AS n FROM normal GROUP BY 1) t USING (request_id))"""
+  LEFT JOIN (SELECT n.request_id, count(*) AS n FROM normal n JOIN valid v USING (request_id) WHERE v.engines IS NULL OR list_contains(v.engines, n.engine) GROUP BY 1) t USING (request_id))"""
 
 _NOISE = f"""
 SELECT DISTINCT id, length(content) >= 20 AND (
@@ -207,7 +207,27 @@ FROM uploads LEFT JOIN h USING (document_id)""",
     "error_status": f"WITH {_ROUTED} SELECT request_id, CASE WHEN reasons <> '' THEN 422 WHEN error IS NOT NULL THEN 400 ELSE 200 END AS status FROM judged",
     "engine_parameters": f"""WITH {_ROUTED}
 SELECT request_id, query AS q, per_page, CASE WHEN NOT unpaged THEN page END AS pageno, category AS categories, time_range, array_to_string(engines, ',') AS engines FROM valid""",
-    "result_normalise": f"WITH {_NORMAL} SELECT result_id, request_id, title, url, md5(content) AS content, engine, round(score, 6) AS score, category FROM normal",
+    "result_normalise": f"""WITH {_ROUTED}, {_NORMAL}
+SELECT n.result_id, request_id, n.title, n.url, md5(n.content) AS content, n.engine, round(n.score, 6) AS score, CASE WHEN s.category <> '' THEN s.category ELSE coalesce(r.category, 'general') END AS category
+FROM normal n JOIN (SELECT DISTINCT result_id, category FROM search_results) s USING (result_id) LEFT JOIN routed r USING (request_id)""",
+    "request_bodies": """
+SELECT request_id, '{"query":' || to_json(query_text) || coalesce(',"page":' || page, '') || coalesce(',"per_page":' || per_page, '')
+  || CASE WHEN category <> '' THEN ',"category":' || to_json(category) ELSE '' END || CASE WHEN len(engines) > 0 THEN ',"engines":' || to_json(engines) ELSE '' END || '}' AS body
+FROM search_requests WHERE query_text IS NOT NULL""",
+    "result_scores": f"WITH {_NORMAL} SELECT result_id, engine, (h // 100) || '.' || lpad((h % 100)::VARCHAR, 2, '0') AS shown FROM (SELECT result_id, engine, floor(score * 100 + 0.5)::BIGINT AS h FROM normal)",
+    "upload_results": """
+SELECT document_id, collection_name, count(*) AS points, true AS success FROM (
+  SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY upserted_at DESC, document_id DESC, collection_name DESC) AS rn FROM points)
+WHERE rn = 1 AND document_id IS NOT NULL GROUP BY 1, 2""",
+    "search_answers": f"""WITH {_HYBRID}
+SELECT query_id, '{{"query":' || to_json(query) || ',"collection_name":"documents","context":' || to_json(context) || ',"limit":10}}' AS response FROM (
+  SELECT a.query_id, a.query, coalesce(string_agg(f.content, {_text(SEPARATOR)} ORDER BY f.rerank), {_text(NO_RESULTS)}) AS context
+  FROM asked a LEFT JOIN found f USING (query_id) GROUP BY 1, 2)""",
+    "payloads": f"""WITH {_POINTS}, {_CHUNKS}, j AS (
+  SELECT p.point_id, p.collection_name, p.chunk_id, c.chunk_type, c.section_path, c.content FROM points_now p JOIN chunks_now c ON c.id = p.chunk_id)
+SELECT point_id, content, '{{' || array_to_string(list_filter([
+  '"chunk_id":' || to_json(chunk_id), '"collection_name":' || to_json(collection_name), '"chunk_type":' || to_json(chunk_type), '"section_path":' || to_json(section_path)], lambda x: x IS NOT NULL), ',') || '}}' AS metadata
+FROM j""",
     "websearch_page": f"WITH {_PAGED} SELECT request_id, rank, result_id, round(score, 6) AS score FROM shown",
     "websearch_meta": f"WITH {_PAGED} SELECT * FROM meta",
     "page_bar": f"""WITH {_PAGED}

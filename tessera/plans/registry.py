@@ -93,11 +93,11 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def _reranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Queries (query_id, query) and their fused candidates with contents, reranked."""
-    points = checkpointed(_points(spark, d, "chunk_id", "sparse"))
+    points = _points(spark, d, "chunk_id").select("point_id", "chunk_id")
     chunks = _chunks(spark, d, "content", "section_path").select(F.col("id").alias("chunk_id"), "content", "section_path")
     asked = _asking(points, "point_id").join(chunks, "chunk_id", "left").select(F.col("point_id").alias("query_id"), F.coalesce("content", F.lit("")).alias("query"))
-    fused = retrieval.fuse([_dense(points), _sparse(points)])
-    with_text = fused.join(points.select("point_id", "chunk_id"), "point_id").join(chunks, "chunk_id").join(asked, "query_id")
+    fused = retrieval.fuse([_dense(_points(spark, d)), _sparse(_points(spark, d, "sparse"))])
+    with_text = fused.join(points, "point_id").join(chunks, "chunk_id").join(asked, "query_id")
     return asked, retrieval.rerank(with_text, retrieval.lexical_score(F.col("query"), F.col("content")))
 
 
@@ -119,7 +119,7 @@ FLAGSHIP = hybrid_search
 @query
 def search_answers(spark: SparkSession, d: str) -> DataFrame:
     """The flagship's contexts as responses."""
-    return retrieval.answer(hybrid_search(spark, d), "documents", 10)
+    return retrieval.answer(retrieval.respond(*_reranked(spark, d)), "documents", 10)
 
 
 @query
@@ -251,7 +251,7 @@ def section_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chunk_document(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.pack(chunking.sections(markdown.elements(table(spark, d, "documents").select("doc_id", "text").distinct())), 512)
+    return chunking.pack(chunking.sections(markdown.elements(table(spark, d, "documents"), once=True)), 512)
 
 
 @query
@@ -322,6 +322,20 @@ def upload_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def upload_results(spark: SparkSession, d: str) -> DataFrame:
+    """What the upload of each document with stored points answers, by collection."""
+    rows = latest(table(spark, d, "points"), "point_id", "upserted_at", "document_id", "collection_name").filter("document_id is not null")
+    return rows.groupBy("document_id", "collection_name").agg(F.count("*").alias("points")).withColumn("success", F.lit(True))
+
+
+@query
+def export_summary(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents were asked for and how many have a file."""
+    rows = table(spark, d, "documents").select("doc_id", "url", "text")
+    return export.saved(export.export_pages(rows, "doc_id", "text"))
+
+
 @query
 def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return html.html_to_markdown(table(spark, d, "documents"), "doc_id", "text")
@@ -364,10 +378,23 @@ def engine_parameters(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def result_normalise(spark: SparkSession, d: str) -> DataFrame:
-    rows = search.normalise(_requests(spark, d)[1])
+    requests, results = _requests(spark, d)
+    rows = search.normalise(results, requests)
     return rows.withColumn("content", F.md5("content")).withColumn("score", F.round("score", 6))
 
 
+@query
+def request_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return search.request_body(_requests(spark, d)[0])
+
+
+@query
+def result_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of each result as a reader sees it."""
+    rows = search.normalise(_requests(spark, d)[1])
+    return rows.select("result_id", "engine", search.two_decimals(F.col("score")).alias("shown"))
+
+
 @query
 def websearch_page(spark: SparkSession, d: str) -> DataFrame:
     return search.pages(*_requests(spark, d)).withColumn("score", F.round("score", 6))

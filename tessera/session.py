@@ -23,11 +23,15 @@ def local_session(cores: str = "*", memory: str = "8g", name: str = "tessera", *
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the folder the cluster names in ``spark.checkpoint.dir``, with its lineage cut.
 
-    Only where that is unset, as in tests, a folder of this machine is taken.
+    Only where that is unset and Spark runs in this one process, as in tests, a folder of this machine is taken; on a
+    cluster without the setting it is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

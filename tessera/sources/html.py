@@ -126,10 +126,12 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except Exception as error:  # a page that can't be read must not end the job
                 done.append("")
                 errors.append(type(error).__name__)
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(done, pa.string()), pa.array(errors, pa.string())], names=["key", "markdown", "error"])
+        rest = [c for c in batch.schema.names if c != "html"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(done, pa.string()), pa.array(errors, pa.string())], names=[*rest, "markdown", "error"])
 
 
-def html_to_markdown(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """``key`` (as a string), ``markdown`` and ``error`` of each page; an empty or unreadable one has empty markdown and an error."""
-    rows = pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html"))
-    return rows.mapInArrow(_render, "key string, markdown string, error string").withColumnRenamed("key", key)
+def html_to_markdown(pages: DataFrame, key: str, html: str, *others: str) -> DataFrame:
+    """``key`` (as a string), the ``others`` (strings) as they are, ``markdown`` and ``error`` of each page; an empty or unreadable one has empty markdown and an error."""
+    rows = pages.select(F.col(key).cast("string").alias("key"), *others, F.col(html).alias("html"))
+    schema = ", ".join(f"`{c}` string" for c in ("key", *others, "markdown", "error"))
+    return rows.mapInArrow(_render, schema).withColumnRenamed("key", key)

@@ -84,5 +84,36 @@ def test_models(spark):
 
 
 def test_answer(spark):
-    df = spark.createDataFrame([(1, "c", 1)], "query_id bigint, context string, n int")
-    assert R.answer(df, "docs", 3).first().response == '{"query_id":1,"collection_name":"docs","context":"c","limit":3}'
+    asked = spark.createDataFrame([(1, "q", 1), (2, None, 1)], "query_id bigint, query string, n int")
+    found = spark.createDataFrame([(1, 1, "c")], "query_id bigint, rerank int, content string")
+    done = {r.query_id: r.response for r in R.answer(R.respond(asked, found), "docs", 3).collect()}
+    assert done[1] == '{"query":"q","collection_name":"docs","context":"c","limit":3}' and R.NO_RESULTS in done[2]
+    louder = R.respond(asked, found, lambda df: df.withColumn("content", F.upper("content")))
+    assert louder.filter("query_id = 1").first().context == "C"
+
+
+def test_sparse_by_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k % 7, 9))) for k in range(40)], "point_id bigint, text string")
+    p = R.lexical_postings(docs, "point_id")
+    q = p.filter("point_id < 5").withColumnRenamed("point_id", "query_id")
+    whole = rows(R.sparse_topk(q, p, 3))
+    monkeypatch.setattr(R, "BROADCAST_POSTINGS", 2)
+    assert len(whole) == 15 and rows(R.sparse_topk(q, p, 3)) == whole
+
+
+def test_compress_words_beyond_the_frequent(spark, monkeypatch):
+    df = spark.createDataFrame([(k, " ".join(f"W{j * j % (k + 3)}" for j in range(12))) for k in range(20)], "id bigint, text string")
+    whole = rows(R.compress(df, "id", "text"))
+    monkeypatch.setattr(R, "FREQUENT", 3)
+    assert len(whole) == 20 and rows(R.compress(df, "id", "text")) == whole
+
+
+def test_compress_with_a_model(spark):
+    def model(text, target):
+        if len(text) > 40 or "bad" in text:
+            raise RuntimeError("too long")
+        return text[: target * 4]
+
+    df = spark.createDataFrame([(1, "x" * 40), (2, "y" * 400), (3, "bad " * 5), (4, None), (5, "")], "id bigint, text string")
+    found = rows(R.compress_with(df, "id", "text", model, 0.5, None, 10), "id", "compressed", "form")
+    assert found == [(1, "x" * 20, "whole"), (2, "y" * 20, "truncated"), (3, "bad " * 5, "original"), (4, None, None), (5, "", "whole")]

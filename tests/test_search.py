@@ -68,6 +68,15 @@ def test_engines_without_pages(spark):
 def test_normalise(spark):
     row = S.normalise(results(spark, 1)).first()
     assert (row.title, row.category, row.score) == ("", "general", 0.0)
+    asked = requests(spark, dict(query_text="x", category="science"))
+    assert S.normalise(results(spark, 1), asked).first().category == "science"
+
+
+def test_what_clients_send_and_readers_see(spark):
+    df = requests(spark, dict(query_text="x", category="", engines=[], page=2, per_page=5), dict(query_text="y", category="it", engines=["a"], page=1, per_page=5), dict(query_text=None))
+    assert rows(S.request_body(df), "body") == [('{"query":"x","page":2,"per_page":5}',), ('{"query":"y","page":1,"per_page":5,"category":"it","engines":["a"]}',)]
+    shown = spark.createDataFrame([(0.0,), (0.125,), (12.3,), (1.999,)], "score double").select(S.two_decimals(F.col("score")).alias("s"))
+    assert [r.s for r in shown.collect()] == ["0.00", "0.13", "12.30", "2.00"]
 
 
 def test_engines_taken_out_and_queries_rewritten(spark):

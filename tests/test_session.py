@@ -1,3 +1,7 @@
+import types
+
+import pytest
+
 from tessera.session import checkpointed, spread
 
 
@@ -12,3 +16,10 @@ def test_spread(spark):
 def test_checkpointed(spark):
     df = checkpointed(spark.range(10).filter("id > 3"))
     assert df.count() == 6 and "Filter" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_cluster_must_name_its_folder():
+    context = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = types.SimpleNamespace(sparkContext=context, conf=types.SimpleNamespace(get=lambda name, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpointed(types.SimpleNamespace(sparkSession=session))

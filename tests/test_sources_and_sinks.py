@@ -30,8 +30,33 @@ def test_unique_names_and_files(spark, tmp_path):
     df = spark.createDataFrame([(1, "https://a.b", "x"), (2, "https://a.b", "y"), (3, None, "")], "id int, url string, markdown string")
     named = export.export_names(df, "id", F.lit("2026-01-30 19:45:36").cast("timestamp"))
     assert rows(named, "id", "file") == [(1, "20260130_194536_a.b.md"), (2, "20260130_194536_a.b_1.md"), (3, "20260130_194536_unknown.md")]
-    export.write_files(named, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 2
+    export.write_files(named, str(tmp_path / "out"), 4)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert export.read_file(spark, str(tmp_path / "out"), "20260130_194536_a.b_1.md", 4).first().markdown == "y"
+    assert export.read_file(spark, str(tmp_path / "out"), "20260130_194536_unknown.md", 4).count() == 0
+
+
+def test_numbers_of_a_hot_name(spark):
+    """One base in many tasks, others in between; the numbers are those of one window over all."""
+    df = spark.range(0, 5000).selectExpr("id", "case when id % 3 = 0 then 'hot' else concat('b', id % 700) end as base").repartition(13)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r.id: (r.base, r.n) for r in export.numbered(df, "id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seen = {}
+    for k in range(5000):
+        base = found[k][0]
+        assert found[k][1] == seen.get(base, 0)
+        seen[base] = seen.get(base, 0) + 1
+    assert export.numbered(df.limit(0), "id").count() == 0
+
+
+def test_export_pages(spark):
+    df = spark.createDataFrame([(1, "https://a.b", "<p>x"), (2, "https://a.b", ""), (3, "https://a.b", "<p>y"), (4, None, None)], "id int, url string, html string")
+    done = export.export_pages(df, "id", "html")
+    assert rows(done, "id", "markdown", "error", "file") == [("1", "x", None, "a.b.md"), ("2", "", "empty", None), ("3", "y", None, "a.b_1.md"), ("4", "", "empty", None)]
+    assert export.saved(done).first() == (4, 2) and export.saved(done.limit(0)).first() == (0, 0)
 
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav>menu</nav><h1>Head &amp; more</h1><p>One <strong>two</strong> <em>three</em><p>open
@@ -61,6 +86,12 @@ def test_collections(spark, tmp_path):
     assert collections.collection(spark, path, "one").count() == 2 and collections.collection_exists(spark, path, "two")
     with pytest.raises(ValueError):
         collections.store(points, path, "one", "error")
+    (tmp_path / "broken").write_text("no table")
+    with pytest.raises(Exception, match="(?i)parquet|footer|magic"):
+        collections.collection_exists(spark, str(tmp_path / "broken"), "one")
+    assert not collections.collection_exists(spark, str(tmp_path / "none"), "one")
+    named = points.withColumn("document_id", F.lit("d"))
+    assert rows(collections.upload_rows(named, "one")) == [("d", "one", True, 2)] and collections.upload_rows(named.limit(0), "one").count() == 0
     assert "section_path" not in collections.payload(points).filter("content = 'text a'").first().metadata
     with pytest.raises(Exception, match="no vector for chunk b"):
         collections.to_points(chunks, dense.filter("id = 'a'"), sparse).collect()
@@ -101,3 +132,15 @@ def test_config():
     for wrong in ({"chunking": {"overlap_tokens": 512}}, {"store": {"metric": "x"}}, {"compression": {"ratio": 1.0}}, {"fetching": {"backoff": 0.5}}, {"chunking": {"max_tokens": 600}}, {"retrieval": {"limit": 0}}):
         with pytest.raises(ValueError):
             config.load(wrong)
+
+
+def test_settings_files(tmp_path):
+    path = tmp_path / "settings.yaml"
+    path.write_text("chunking:\n  chunk_size: 300\nqdrant:\n  distance_metric: Dot\nurl_fetching:\n  max_retries: 5\nserver:\n  port: 1\n")
+    found = config.load_file(str(path))
+    assert (found.chunking, found.store.metric, found.fetching.max_retries) == (config.Chunking(300, 30), "Dot", 5)
+    (tmp_path / "none.json").write_text("")
+    assert config.load_file(str(tmp_path / "none.json")).chunking.max_tokens == 256
+    path.write_text("url_fetching:\n  retry_backoff: 0\n")
+    assert config.load_fetching(str(path)) == config.Fetching() == config.load_fetching(str(tmp_path / "missing.yaml"))
+    assert [config.sequence_limit(x) for x in (None, 384, 10**30)] == [512, 384, 512]
