@@ -1,9 +1,10 @@
 """Problem 7: passages of evaluation items inside a training corpus, by greedy string tiling.
 
-Seeds of ``SEED`` successive words bring document and item together: all seeds of the items, and of a document all
-seeds too, where tiles of ``LEAST`` words count, or those at each ``MATCH - SEED + 1``-th word, which is enough where only
-a common run of ``MATCH`` words counts, since it holds one of them.  The pairs found are tiled: the longest common runs of words not yet marked, found by Karp-Rabin hashes of running length, are
-marked again and again until none of ``LEAST`` words is left.
+Seeds of ``SEED`` successive words, at every word of documents and items, are joined.  The item's places that a document
+hits bound what tiles there can be: a common run of n words hits n - SEED + 1 places in a row, and no tile covers a word
+without a hit place.  Only pairs within these bounds are tiled, and only their documents' texts are fetched: the longest
+common runs of words not yet marked, found by Karp-Rabin hashes of running length, are marked again and again until none
+of ``LEAST`` words is left.
 """
 
 from __future__ import annotations
@@ -12,30 +13,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import U, Words, list_array, mix, slices
-from tessera.session import spread
+from tessera.session import checkpointed, spread
 
 #: Successive words in common that make a leak, words of a seed, and words of the shortest tile that coverage counts.
 MATCH, SEED, LEAST = 13, 7, 7
-#: Items whose seeds may be broadcast, at most; a larger set is joined by a shuffle.
-BROADCAST_ITEMS = 20_000
+#: Share of an item in tiles that makes a leak.
+COVERAGE = 0.5
+#: Items whose seeds may be broadcast, and documents whose ids may be, at most; larger sets are joined by a shuffle.
+BROADCAST_ITEMS, BROADCAST_IDS = 20_000, 1_000_000
 
 
-def _seeds(step: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            words = Words(batch.column("text").to_pylist())
-            seed, first = words.grams(SEED)
-            doc = words.doc[first]
-            begin = np.searchsorted(words.doc, np.arange(batch.num_rows))
-            take = (first - begin[doc]) % step == 0
-            counts = np.bincount(doc[take], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), list_array(seed[take].view(np.int64), counts, pa.int64())], names=["key", "seeds"])
-
-    return run
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different seeds of each text."""
+    for batch in slices(batches, "text"):
+        words = Words(batch.column("text").to_pylist())
+        seed, first = words.grams(SEED)
+        doc = words.doc[first]
+        order = np.lexsort((seed, doc))
+        seed, doc = seed[order], doc[order]
+        new = np.concatenate(([True], (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])))[: len(seed)]
+        counts = np.bincount(doc[new], minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), list_array(seed[new].view(np.int64), counts, pa.int64())], names=["key", "seeds"])
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's number of words and the seeds of all its places, in order."""
+    for batch in slices(batches, "text"):
+        words = Words(batch.column("text").to_pylist())
+        seed, first = words.grams(SEED)
+        counts = np.bincount(words.doc[first], minlength=batch.num_rows)
+        size = np.bincount(words.doc, minlength=batch.num_rows).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(size), list_array(seed.view(np.int64), counts, pa.int64())], names=["key", "words", "seeds"])
 
 
 def _longest(a: np.ndarray, b: np.ndarray, used_a: np.ndarray, used_b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,36 +112,63 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, step: int = 1) -> DataFrame:
-    """One row for each document and item that share a seed, with the tiling's figures.
+def _bounds(places: Column) -> Column:
+    """Of the sorted places of an item that a document hits: the longest run of them, and the words they cover."""
+    start = F.struct(F.lit(-SEED - 1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("longest"), F.lit(0).alias("covered"))
+
+    def step(s: Column, at: Column) -> Column:
+        run = F.when(at == s["last"] + 1, s["run"] + 1).otherwise(1)
+        more = F.least(at - s["last"], F.lit(SEED))
+        return F.struct(at.alias("last"), run.alias("run"), F.greatest(s["longest"], run).alias("longest"), (s["covered"] + more).alias("covered"))
+
+    return F.aggregate(places, start, step)
+
 
-    With ``step`` 1 these are all that have a tile; a document's seeds at each ``step``-th word find all common runs of
-    ``SEED + step - 1`` words only.
+def candidates(documents: DataFrame, items: DataFrame, match: int, coverage: float | None) -> DataFrame:
+    """``doc_id`` and ``item_id`` of all pairs that can have a tile of ``match`` words or tiles over ``coverage`` of the item."""
+    of_doc = spread(documents.select(F.col("doc_id").alias("key"), "text"), "key").mapInArrow(_seeds, "key bigint, seeds array<bigint>")
+    of_doc = of_doc.select(F.col("key").alias("doc_id"), F.explode("seeds").alias("seed"))
+    of_item = items.select(F.col("item_id").alias("key"), F.col("item").alias("text")).mapInArrow(_item_seeds, "key bigint, words int, seeds array<bigint>")
+    of_item = of_item.select(F.col("key").alias("item_id"), "words", F.posexplode("seeds").alias("at", "seed"))
+    if few(items):
+        of_item = F.broadcast(of_item)  # a document's other seeds leave before any shuffle, and no frequent seed is a key
+    hits = of_doc.join(of_item, "seed").groupBy("doc_id", "item_id").agg(F.first("words").alias("words"), F.sort_array(F.collect_set("at")).alias("places"))
+    hits = hits.withColumn("b", _bounds(F.col("places")))
+    able = F.col("b.longest") >= match - SEED + 1
+    if coverage is not None:
+        able |= F.col("b.covered") >= F.col("words") * coverage
+    return hits.filter(able).select("doc_id", "item_id")
+
+
+def few(items: DataFrame) -> bool:
+    return items.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, match: int = MATCH, coverage: float | None = COVERAGE) -> DataFrame:
+    """One row for each document and item with a tile of ``match`` words, or tiles over ``coverage`` of the item, with the tiling's figures.
 
     Columns: doc_id, item_id, longest (words of the longest tile), tiles, covered (words of the item in tiles), coverage
-    (their share).  ``longest >= 13`` is a leak by passage; ``coverage`` also catches passages in another order, since
-    tiles may stand anywhere.  Null, blank and short texts give no row; rows loaded twice count once; empty tables give
-    an empty result; further columns are ignored.
+    (their share).  A ``longest`` of ``match`` is a leak by passage; ``coverage`` also catches passages in another order,
+    since tiles may stand anywhere.  ``match`` is at least ``SEED``.  Null, blank and short texts give no row; rows loaded
+    twice count once; empty tables give an empty result; further columns are ignored.
     """
-    documents = documents.select("doc_id", "text").filter(F.length("text") > 0)
-    items = items.select("item_id", F.col("text").alias("item")).filter(F.length("item") > 0).distinct()
-    seed = "key bigint, seeds array<bigint>"
-    of_doc = spread(documents.select(F.col("doc_id").alias("key"), "text"), "key").mapInArrow(_seeds(step), seed)
-    of_item = items.select(F.col("item_id").alias("key"), F.col("item").alias("text")).mapInArrow(_seeds(1), seed)
-    of_doc = of_doc.select(F.col("key").alias("doc_id"), F.explode("seeds").alias("seed"))
-    of_item = of_item.select(F.col("key").alias("item_id"), F.explode("seeds").alias("seed")).distinct()
-    if items.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS:
-        of_item = F.broadcast(of_item)  # so that a document's other seeds leave before any shuffle
-        small = F.broadcast
-    else:
-        small = lambda df: df
-    pairs = of_doc.join(of_item, "seed").select("doc_id", "item_id").distinct()
+    if match < SEED:
+        raise ValueError(f"match must be at least {SEED}")
+    documents = documents.select("doc_id", "text").filter((F.length("text") > 0) & F.col("doc_id").isNotNull())
+    items = items.select("item_id", F.col("text").alias("item")).filter((F.length("item") > 0) & F.col("item_id").isNotNull()).distinct()
+    pairs = checkpointed(candidates(documents, items, match, coverage))
+    needed = pairs.select("doc_id").distinct()
+    # beyond the bound the join is a shuffle, in which Spark's own Bloom filter of the few ids spares most documents
+    needed = F.broadcast(needed) if needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else needed
+    texts = documents.join(needed, "doc_id", "left_semi").distinct()
+    items = F.broadcast(items) if few(items) else items
     # one partition holds few documents, also where one document meets many items
-    return pairs.join(documents.distinct(), "doc_id").join(small(items), "item_id").select("doc_id", "item_id", "text", "item").repartition("doc_id", "item_id").mapInArrow(
-        _tile, "doc_id bigint, item_id bigint, longest int, tiles int, covered int, coverage double"
-    )
+    both = pairs.join(texts, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "item").repartition("doc_id", "item_id")
+    found = both.mapInArrow(_tile, "doc_id bigint, item_id bigint, longest int, tiles int, covered int, coverage double")
+    leak = F.col("longest") >= match
+    return found.filter(leak if coverage is None else leak | (F.col("coverage") >= coverage))
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id`` and ``item_id`` of texts with ``MATCH`` successive words in common."""
-    return find_leaks(documents, items, MATCH - SEED + 1).filter(F.col("longest") >= MATCH).select("doc_id", "item_id")
+    return find_leaks(documents, items, coverage=None).select("doc_id", "item_id")

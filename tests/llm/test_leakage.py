@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import leakage as L
 
@@ -55,7 +57,7 @@ def test_against_brute_force(spark):
 def test_passages_in_another_order(spark):
     words = [f"w{k}" for k in range(40)]
     df = spark.createDataFrame([(1, " ".join([*words[30:40], "and", *words[10:20], "or", *words[20:30], "so", *words[:10]]))], "doc_id bigint, text string")
-    row = L.find_leaks(df, spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")).first()
+    row = L.find_leaks(df.withColumn("item", F.lit(1)), spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")).first()
     assert (row.longest, row.tiles, row.coverage) == (10, 4, 1.0)
 
 
@@ -76,3 +78,48 @@ def test_large_item_sets_are_shuffled(spark, monkeypatch):
     text = " ".join(f"w{k}" for k in range(20))
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     assert L.leaked(df, df.toDF("item_id", "text")).count() == 1
+
+
+def test_reordered_parts_at_random_places(spark):
+    """Items whose text stands whole in a document, as shuffled parts of seven words: all of them are found."""
+    r = random.Random(11)
+    docs, items = [], []
+    for k in range(200):
+        words = [f"i{k}w{j}" for j in range(42)]
+        parts = [words[j : j + 7] for j in range(0, 42, 7)]
+        r.shuffle(parts)
+        text = [f"x{r.random()}" for _ in range(r.randrange(20))]
+        for part in parts:
+            text += part + [f"y{r.randrange(10**6)}" for _ in range(r.randrange(1, 9))]
+        docs.append((k, " ".join(text)))
+        items.append((k, " ".join(words)))
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = L.find_leaks(df, bench).collect()
+    assert sorted((x.doc_id, x.item_id) for x in found) == [(k, k) for k in range(200)] and all(x.coverage == 1 for x in found)
+    assert L.leaked(df, bench).count() == 0
+
+
+def test_bounds_leave_out_only_what_no_tile_can_reach(spark):
+    """Pairs and figures are those of tiling every pair."""
+    r = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(4)]
+    make = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = {k: make(r.choice((7, 12, 20, 40))) for k in range(15)}
+    docs = {k: make(r.choice((6, 30, 200))) for k in range(40)}
+    for k in range(0, 40, 3):
+        part = items[k % 15][2:16]
+        docs[k] = make(9) + part + make(5) + part + make(9)
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], f"{name} bigint, text string")
+    hashed = lambda words: np.array([hash(w) & (2**62 - 1) for w in words], dtype=np.uint64)
+    for match, coverage in ((13, 0.5), (9, None), (13, 0.9)):
+        expected = []
+        for d, words in docs.items():
+            for i, item in items.items():
+                found = L.tiles(hashed(words), hashed(item))
+                top, covered = max((t[2] for t in found), default=0), sum(t[2] for t in found)
+                if top >= match or (coverage is not None and found and covered / len(item) >= coverage):
+                    expected.append((d, i, top, len(found), covered))
+        got = sorted((x.doc_id, x.item_id, x.longest, x.tiles, x.covered) for x in L.find_leaks(frame(docs, "doc_id"), frame(items, "item_id"), match, coverage).collect())
+        assert got == sorted(expected) and expected
+    with pytest.raises(ValueError):
+        L.find_leaks(frame(docs, "doc_id"), frame(items, "item_id"), 5)
