@@ -17,7 +17,7 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import U, Words, list_array, mix, slices
@@ -26,13 +26,15 @@ from tessera.session import checkpointed, spread
 #: Minimum hashes that begin a rotation, and those that give two bits each to the fingerprint.
 LEAD, WIDTH = 3, 64
 #: Probability that a pair at the threshold is missed by all rotations.
-MISS = 1e-4
+MISS = 1e-5
 #: Standard deviations of the distance that the budget leaves to pairs at the threshold.
-SPREAD = 3.3
+SPREAD = 4.0
 #: Texts below one beginning that a task joins at once; more are joined in pairs of blocks of this size, by many tasks.
 BLOCK = 1024
 #: Ids that may be broadcast, at most.
 BROADCAST_IDS = 1_000_000
+#: Texts that a task remembers to count copies once, at most; beyond it the memory is started anew.
+REMEMBER = 1_000_000
 
 
 def turns(threshold: float) -> int:
@@ -69,6 +71,8 @@ def min_hashes(texts: list[str], shingle: int, count: int) -> tuple[np.ndarray,
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, rotations: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # exact copies within a task count once
     for batch in slices(batches, "content"):
+        if len(seen) > REMEMBER:
+            seen.clear()
         ids, texts, keep = batch.column("tid").to_pylist(), batch.column("content"), []
         for k, tid in enumerate(ids):
             if tid not in seen:
@@ -131,6 +135,30 @@ def trie_join(group: np.ndarray, bits: np.ndarray, most: int, side: np.ndarray |
     return a, b
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges between ``n`` rows those of a spanning forest, and each row's component."""
+    label, tree = np.arange(n), np.zeros(len(a), dtype=bool)
+    while True:
+        across = np.flatnonzero(label[a] != label[b])
+        if not len(across):
+            return np.flatnonzero(tree), label
+        first = np.full(n, len(a))  # the first edge out of each component; no cycle can come of these
+        np.minimum.at(first, label[a[across]], across)
+        np.minimum.at(first, label[b[across]], across)
+        new = np.unique(first[first < len(a)])
+        tree[new] = True
+        while True:
+            x, y = label[a[new]], label[b[new]]
+            least = label.copy()
+            np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+            least = least[label]
+            while (least[least] != least).any():
+                least = least[least]
+            if (least == label).all():
+                break
+            label = least
+
+
 PAIRS = "a bigint, b bigint, key bigint, block int, bits_a bigint, bits_b bigint"
 
 
@@ -144,8 +172,11 @@ def _bytes(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows[2:].T).view(np.uint8)
 
 
-def _join_buckets(rows: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole buckets; rows: key, tid and the two halves of the fingerprint, sorted by key."""
+def _join_buckets(rows: np.ndarray, most: int, forest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole buckets; rows: key, tid and the two halves of the fingerprint, sorted by key.
+
+    With ``forest`` the pairs of a spanning forest of each bucket, and the rows of those with further pairs in block 0.
+    """
     if not rows.shape[1]:
         return
     edge = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1], [True])))
@@ -163,11 +194,22 @@ def _join_buckets(rows: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
     for p, q in zip(cut, cut[1:]):
         part = rows[:, edge[p] : edge[q]]
         a, b = trie_join(part[0], _bytes(part), most)
+        if forest and len(a):
+            tree, label = spanning(part.shape[1], a, b)
+            more = np.bincount(label, minlength=part.shape[1])[label] > 2
+            if more.any():
+                yield _deferred(part[:, more], np.zeros(more.sum(), np.int64))
+            a, b = a[tree], b[tree]
         if len(a):
             yield _pairs(part[1], a, b)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _deferred(rows: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[0]), pa.array(block.astype(np.int32)), pa.array(rows[2]), pa.array(rows[3])]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "block", "bits_a", "bits_b"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], most: int, forest: bool = False) -> Iterator[pa.RecordBatch]:
     """Joins each bucket of a partition sorted by key; the rows of one over BLOCK texts come out with block numbers."""
     carry, over, given = np.empty((4, 0), dtype=np.int64), None, 0
 
@@ -175,8 +217,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         nonlocal given
         block = (given + np.arange(rows.shape[1])) // BLOCK
         given += rows.shape[1]
-        columns = [pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[0]), pa.array(block.astype(np.int32)), pa.array(rows[2]), pa.array(rows[3])]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "block", "bits_a", "bits_b"])
+        return _deferred(rows, block)
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
@@ -195,9 +236,9 @@ def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         for k in np.flatnonzero(np.diff(edge) > BLOCK):
             big = rows[:, edge[k] : edge[k + 1]]
             given = 0
-            yield from _sized(big, most, defer)
+            yield from _sized(big, most, forest, defer)
         small = np.repeat(np.diff(edge) <= BLOCK, np.diff(edge)) if last else np.zeros(0, bool)
-        yield from _join_buckets(rows[:, :last][:, small], most)
+        yield from _join_buckets(rows[:, :last][:, small], most, forest)
         carry = rows[:, last:]
         if carry.shape[1] > BLOCK:
             carry = carry[:, np.unique(carry[1], return_index=True)[1]]
@@ -206,29 +247,37 @@ def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
                 yield defer(carry)
                 carry = carry[:, :0]
     given = 0
-    yield from _sized(carry, most, defer)
+    yield from _sized(carry, most, forest, defer)
 
 
-def _sized(rows: np.ndarray, most: int, defer) -> Iterator[pa.RecordBatch]:
+def _sized(rows: np.ndarray, most: int, forest: bool, defer) -> Iterator[pa.RecordBatch]:
     """One whole bucket: joined here, or deferred if it holds more than BLOCK different texts."""
     if rows.shape[1] > BLOCK:
         rows = rows[:, np.unique(rows[1], return_index=True)[1]]
     if rows.shape[1] > BLOCK:
         yield defer(rows)
     else:
-        yield from _join_buckets(rows, most)
+        yield from _join_buckets(rows, most, forest)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Joins pairs of blocks; rows are sorted by key and pair."""
+def _blocks(batches: Iterator[pa.RecordBatch], most: int, forest: bool = False) -> Iterator[pa.RecordBatch]:
+    """Joins pairs of blocks; rows are key, tid, two halves of the fingerprint, pair, own block and, perhaps, group, sorted by key and pair.
+
+    With ``forest`` the pairs of a spanning forest only; of rows with groups the pairs of different groups only.
+    """
     carry: list[np.ndarray] = []
 
     def join(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        group = rows[0] * 0
+        if len(rows) > 7 and (rows[7] == rows[7, 0]).all():
+            return
         same = rows[4, 0] == rows[5, 0]
-        a, b = trie_join(group, _bytes(rows[:4]), most, None if same else rows[6] == rows[5])
-        differ = rows[1][a] != rows[1][b]
-        yield _pairs(rows[1], a[differ], b[differ])
+        a, b = trie_join(rows[0] * 0, _bytes(rows[:4]), most, None if same else rows[6] == rows[5])
+        by = rows[7] if len(rows) > 7 else rows[1]
+        a, b = a[by[a] != by[b]], b[by[a] != by[b]]
+        if forest and len(a):
+            tree, _ = spanning(rows.shape[1], a, b)
+            a, b = a[tree], b[tree]
+        yield _pairs(rows[1], a, b)
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
@@ -242,20 +291,28 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield from join(np.concatenate(carry, axis=1))
 
 
+def _bucketed(texts: DataFrame, shingle: int, threshold: float, forest: bool) -> DataFrame:
+    """Pairs of the buckets that fit a task, and, with a null ``b``, the rows of those that don't, with block numbers."""
+    prints = texts.mapInArrow(partial(_fingerprints, shingle=shingle, rotations=turns(threshold)), "key bigint, tid bigint, bits_a bigint, bits_b bigint")
+    return checkpointed(prints.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_buckets, most=budget(threshold), forest=forest), PAIRS).distinct())
+
+
+def _of_blocks(rows: DataFrame, others: Column, threshold: float, forest: bool = False) -> DataFrame:
+    """Pairs of rows(key, a, bits_a, bits_b, block, last, ...) of a block and each of the ``others``."""
+    more = ["group"] * ("group" in rows.columns)
+    blocks = rows.select("key", F.col("a").alias("tid"), "bits_a", "bits_b", "block", F.explode(others).alias("other"), *more)
+    blocks = blocks.select("key", "tid", "bits_a", "bits_b", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", *more)
+    blocks = blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return blocks.mapInArrow(partial(_blocks, most=budget(threshold), forest=forest), PAIRS).select("a", "b")
+
+
 def candidates(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Pairs ``a < b`` of different text ids of ``texts(tid, salt, content)`` of equal salt whose fingerprints are near."""
-    most = budget(threshold)
-    prints = texts.mapInArrow(partial(_fingerprints, shingle=shingle, rotations=turns(threshold)), "key bigint, tid bigint, bits_a bigint, bits_b bigint")
-    found = checkpointed(prints.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_buckets, most=most), PAIRS).distinct())
+    found = _bucketed(texts, shingle, threshold, False)
     hot = found.filter(F.col("b").isNull())
-    last = hot.groupBy("key").agg(F.max("block").alias("last"))
-    blocks = (
-        hot.join(last, "key")
-        .select("key", F.col("a").alias("tid"), "bits_a", "bits_b", "block", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-        .select("key", "tid", "bits_a", "bits_b", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
-    )
-    more = blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(partial(_blocks, most=most), PAIRS)
-    return found.filter(F.col("b").isNotNull()).select("a", "b").union(more.select("a", "b")).distinct()
+    hot = hot.join(hot.groupBy("key").agg(F.max("block").alias("last")), "key")
+    more = _of_blocks(hot, F.sequence(F.lit(0), "last"), threshold)
+    return found.filter(F.col("b").isNotNull()).select("a", "b").union(more).distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -281,7 +338,13 @@ def similar_texts(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) ->
     texts = spread(rows, "src", "id").select("tid", F.xxhash64("src").alias("salt"), "content")
     pairs = checkpointed(candidates(texts, shingle, threshold))
     copies = members.groupBy("tid").count().filter("count > 1").select("tid")
-    needed = checkpointed(pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).union(copies).distinct())
+    return members, compared(pairs, rows, shingle, threshold, copies)
+
+
+def compared(pairs: DataFrame, rows: DataFrame, shingle: int, threshold: float, copies: DataFrame | None = None) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts in ``rows(tid, content)`` are similar, and a link of each of the ``copies(tid)`` with a shingle to itself."""
+    needed = pairs.select(F.col("a").alias("tid")).union(pairs.select("b"))
+    needed = checkpointed((needed if copies is None else needed.union(copies)).distinct())
     few = needed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = rows.select("tid", "content").join(F.broadcast(needed) if few else needed, "tid", "left_semi").dropDuplicates(["tid"])
     sets = checkpointed(texts.mapInArrow(partial(_sets, shingle=shingle), "tid bigint, grams array<bigint>"))
@@ -295,8 +358,9 @@ def similar_texts(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) ->
         .select("a", "b", (common / (F.col("size_a") + F.col("size_b") - common)).alias("similarity"))
         .filter(F.col("similarity") >= threshold)
     )
-    copied = copies.join(sets, "tid", "left_semi").select(F.col("tid").alias("a"), F.col("tid").alias("b"), F.lit(1.0).alias("similarity"))
-    return members, checkpointed(links.union(copied))
+    if copies is not None:
+        links = links.union(copies.join(sets, "tid", "left_semi").select(F.col("tid").alias("a"), F.col("tid").alias("b"), F.lit(1.0).alias("similarity")))
+    return checkpointed(links)
 
 
 def similar_pairs(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -308,15 +372,41 @@ def similar_pairs(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) ->
     return pairs.select("src", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"))
 
 
+def group_links(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links ``a``, ``b`` between texts of ``texts(tid, salt, content)`` that join the same groups as all links would.
+
+    A group of many variants of a text has links in the order of its texts, not of its pairs.  First each bucket gives a
+    spanning forest of its near fingerprints, a large one of its blocks with the first, and these pairs are compared.
+    Then only pairs whose ends are still in different groups are; whatever the first round left out is among them.
+    """
+    found = _bucketed(texts, shingle, threshold, True)
+    rest = found.filter(F.col("b").isNull())
+    rest = checkpointed(rest.join(rest.groupBy("key").agg(F.max("block").alias("last")), "key"))
+    hot = _of_blocks(rest.filter("last > 0"), F.array_distinct(F.array(F.lit(0), "block")), threshold, True)
+    pairs = found.filter(F.col("b").isNotNull()).select("a", "b").union(hot).distinct()
+    first = compared(checkpointed(pairs), texts, shingle, threshold).select("a", "b")
+    named = components(first).select(F.col("tid").alias("a"), F.col("group_id").alias("group"))
+    rest = rest.join(named, "a", "left").withColumn("group", F.coalesce("group", "a"))
+    open_ = rest.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key")
+    rest = rest.join(open_, "key", "left_semi")
+    pairs = checkpointed(_of_blocks(rest, F.sequence(F.lit(0), "last"), threshold).distinct())
+    return first.union(compared(pairs, texts, shingle, threshold).select("a", "b"))
+
+
 def similar_groups(rows: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row for each id: ``src``, ``id``, ``group_id`` (the least text id that it is linked to, over any number of
-    links) and ``links``, the number of different texts that it is directly linked to."""
-    members, links = similar_texts(rows, shingle, threshold)
-    edges = links.filter("a <> b").select("a", "b")
-    both = edges.union(edges.select("b", "a"))
-    degree = both.groupBy(F.col("a").alias("tid")).agg(F.count("*").alias("links"))
-    named = members.join(components(edges), "tid", "left").join(degree, "tid", "left")
-    return named.select("src", "id", F.coalesce("group_id", "tid").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    """One row for each id: ``src``, ``id``, ``group_id``, the least id of its group, and ``members``, the ids of the group.
+
+    A group holds the ids of one src that are linked over any number of similar texts; an id without similar ones is
+    a group of its own, and so are the copies of a text without a shingle.  Null contents give no row; rows loaded twice
+    count once; an id with two contents counts as one member of each one's group.
+    """
+    rows = rows.filter(F.col("content").isNotNull()).select("src", "id", F.xxhash64("src", "content").alias("tid"), "content")
+    members = rows.select("src", "id", "tid").distinct()
+    texts = spread(rows, "src", "id").select("tid", F.xxhash64("src").alias("salt"), "content")
+    named = members.join(components(group_links(texts, shingle, threshold)), "tid", "left").select("src", "id", F.coalesce("group_id", "tid").alias("g"))
+    named = checkpointed(named)
+    sizes = named.groupBy("src", "g").agg(F.min("id").alias("group_id"), F.count("*").alias("members"))
+    return named.join(sizes, ["src", "g"]).select("src", "id", "group_id", "members")
 
 
 def components(edges: DataFrame) -> DataFrame:

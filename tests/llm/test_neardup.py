@@ -61,16 +61,35 @@ def test_hot_buckets_in_blocks(spark, monkeypatch):
     assert whole == sorted(("s", f"{a:04}", f"{b:04}") for a, b in brute(texts, 3, 0.6))
     base, patched = frame(spark, texts), N._buckets
 
-    def small(batches, most):
+    def small(batches, most, forest):
         N.BLOCK = 4
-        yield from patched(batches, most)
+        yield from patched(batches, most, forest)
 
     monkeypatch.setattr(N, "_buckets", small)
     assert rows(N.similar_pairs(base, 3, 0.6)) == whole
 
 
-def test_groups(spark):
-    texts = corpus()
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 25), st.data())
+def test_spanning(n, data):
+    edges = data.draw(st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1)).filter(lambda e: e[0] != e[1]), max_size=60, unique=True))
+    a, b = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
+    tree, label = N.spanning(n, a, b)
+    parent = list(range(n))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for x, y in edges:
+        parent[root(x)] = root(y)
+    assert all((label[x] == label[y]) == (root(x) == root(y)) for x in range(n) for y in range(n))
+    assert len(tree) == n - len(set(map(root, range(n))))
+
+
+def groups(texts, shingle=3, threshold=0.6):
+    """id to (least id, members), by all pairs; copies of a text belong together."""
     parent = list(range(len(texts)))
 
     def root(k):
@@ -78,14 +97,43 @@ def test_groups(spark):
             k = parent[k]
         return k
 
-    for a, b in brute(texts, 3, 0.6):
+    first = {}
+    for a, b in [*brute(texts, shingle, threshold), *((first.setdefault(t, k), k) for k, t in enumerate(texts))]:
         parent[root(a)] = root(b)
-    found = {r.id: r for r in N.similar_groups(frame(spark, texts).filter("src = 's'"), 3, 0.6).collect()}
-    assert len(found) == len(texts)
-    for a in range(len(texts)):
-        for b in range(a):
-            if texts[a] != texts[b]:
-                assert (found[f"{a:04}"].group_id == found[f"{b:04}"].group_id) == (root(a) == root(b))
+    of = {}
+    for k in range(len(texts)):
+        of.setdefault(root(k), []).append(k)
+    return {f"{k:04}": (f"{min(v):04}", len(v)) for v in of.values() for k in v}
+
+
+def test_groups(spark):
+    texts = corpus()
+    found = {r.id: (r.group_id, r.members) for r in N.similar_groups(frame(spark, texts).filter("src = 's'"), 3, 0.6).collect()}
+    assert found == groups(texts)
+
+
+def variants(n):
+    """Texts that change by one word from one to the next: a chain, in which distant ones aren't similar."""
+    words = [f"w{k}" for k in range(40)]
+    return [" ".join(words[: k % 40] + [f"v{k}x{j}" for j in range(1)] + words[k % 40 + 1 :]) for k in range(n)]
+
+
+def test_groups_of_many_variants(spark, monkeypatch):
+    texts = variants(300) + corpus(3)[:30]
+    df = frame(spark, texts).filter("src = 's'")
+    rows_ = df.filter("content is not null").selectExpr("xxhash64(src, content) as tid", "xxhash64(src) as salt", "content")
+    for block in (N.BLOCK, 16):
+        patched = N._buckets
+
+        def small(batches, most, forest=False, size=block, run=patched):
+            N.BLOCK = size
+            yield from run(batches, most, forest)
+
+        with monkeypatch.context() as m:
+            m.setattr(N, "_buckets", small)
+            assert {r.id: (r.group_id, r.members) for r in N.similar_groups(df, 3, 0.6).collect()} == groups(texts)
+            few = N.group_links(rows_, 3, 0.6).count()
+        assert few < 10 * len(texts) < len(brute(texts, 3, 0.6))
 
 
 def test_components_of_a_chain(spark):
