@@ -24,7 +24,7 @@ from tessera.llm.arrays import U, Words, list_array, mix, slices
 from tessera.session import checkpointed, spread
 
 #: Minimum hashes that begin a rotation, and those that give two bits each to the fingerprint.
-LEAD, WIDTH = 3, 64
+LEAD, WIDTH = 3, 96
 #: Probability that a pair at the threshold is missed by all rotations.
 MISS = 1e-5
 #: Standard deviations of the distance that the budget leaves to pairs at the threshold.
@@ -83,13 +83,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, rotations: in
             continue
         tid = np.array(ids, dtype=np.int64)[keep][rows]
         two = (mix(values[:WIDTH].astype(U)) & U(3)) << ((np.arange(WIDTH, dtype=U) % U(32)) * U(2))[:, None]
-        bits = [np.bitwise_or.reduce(two[k : k + 32]).view(np.int64) for k in (0, 32)]
+        bits = [np.bitwise_or.reduce(two[k : k + 32]).view(np.int64) for k in range(0, WIDTH, 32)]
         salt = batch.column("salt").to_numpy()[keep][rows].view(U)  # texts of other sources don't meet
         key = np.broadcast_to(salt, (rotations, len(rows)))
         for k in range(LEAD):
             key = mix(key * U(0x9E3779B97F4A7C15) + values[k : rotations * LEAD : LEAD] + np.arange(1, rotations + 1, dtype=U)[:, None])
         columns = [key.ravel().view(np.int64), np.tile(tid, rotations), *(np.tile(b, rotations) for b in bits)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "tid", "bits_a", "bits_b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "tid", *BITS])
 
 
 def _repeat(count: np.ndarray) -> np.ndarray:
@@ -159,21 +159,22 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
             label = least
 
 
-PAIRS = "a bigint, b bigint, key bigint, block int, bits_a bigint, bits_b bigint"
+BITS = [f"bits_{k}" for k in range(WIDTH // 32)]
+PAIRS = "a bigint, b bigint, key bigint, block int, " + ", ".join(f"{b} bigint" for b in BITS)
 
 
 def _pairs(tid: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     low, high = np.minimum(tid[a], tid[b]), np.maximum(tid[a], tid[b])
     none = pa.nulls(len(low), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), none, pa.nulls(len(low), pa.int32()), none, none], names=["a", "b", "key", "block", "bits_a", "bits_b"])
+    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), none, pa.nulls(len(low), pa.int32()), *[none] * len(BITS)], names=["a", "b", "key", "block", *BITS])
 
 
 def _bytes(rows: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(rows[2:].T).view(np.uint8)
+    return np.ascontiguousarray(rows.T).view(np.uint8)
 
 
 def _join_buckets(rows: np.ndarray, most: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole buckets; rows: key, tid and the two halves of the fingerprint, sorted by key.
+    """Pairs of whole buckets; rows: key, tid and the parts of the fingerprint, sorted by key.
 
     With ``forest`` the pairs of a spanning forest of each bucket, and the rows of those with further pairs in block 0.
     """
@@ -193,7 +194,7 @@ def _join_buckets(rows: np.ndarray, most: int, forest: bool) -> Iterator[pa.Reco
     cut = np.concatenate(([0], np.flatnonzero(np.diff(work)) + 1, [len(work)]))
     for p, q in zip(cut, cut[1:]):
         part = rows[:, edge[p] : edge[q]]
-        a, b = trie_join(part[0], _bytes(part), most)
+        a, b = trie_join(part[0], _bytes(part[2:]), most)
         if forest and len(a):
             tree, label = spanning(part.shape[1], a, b)
             more = np.bincount(label, minlength=part.shape[1])[label] > 2
@@ -205,13 +206,13 @@ def _join_buckets(rows: np.ndarray, most: int, forest: bool) -> Iterator[pa.Reco
 
 
 def _deferred(rows: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[0]), pa.array(block.astype(np.int32)), pa.array(rows[2]), pa.array(rows[3])]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "block", "bits_a", "bits_b"])
+    columns = [pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[0]), pa.array(block.astype(np.int32)), *map(pa.array, rows[2:])]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "block", *BITS])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], most: int, forest: bool = False) -> Iterator[pa.RecordBatch]:
     """Joins each bucket of a partition sorted by key; the rows of one over BLOCK texts come out with block numbers."""
-    carry, over, given = np.empty((4, 0), dtype=np.int64), None, 0
+    carry, over, given = np.empty((2 + len(BITS), 0), dtype=np.int64), None, 0
 
     def defer(rows: np.ndarray) -> pa.RecordBatch:
         nonlocal given
@@ -261,47 +262,47 @@ def _sized(rows: np.ndarray, most: int, forest: bool, defer) -> Iterator[pa.Reco
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int, forest: bool = False) -> Iterator[pa.RecordBatch]:
-    """Joins pairs of blocks; rows are key, tid, two halves of the fingerprint, pair, own block and, perhaps, group, sorted by key and pair.
+    """Joins pairs of blocks; rows are key, pair (x, y), own block, tid, group and the parts of the fingerprint, sorted by key and pair.
 
     With ``forest`` the pairs of a spanning forest only; of rows with groups the pairs of different groups only.
     """
     carry: list[np.ndarray] = []
 
     def join(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(rows) > 7 and (rows[7] == rows[7, 0]).all():
+        (_, x, y, block, tid, group), bits = rows[:6], rows[6:]
+        if (group == group[0]).all():
             return
-        same = rows[4, 0] == rows[5, 0]
-        a, b = trie_join(rows[0] * 0, _bytes(rows[:4]), most, None if same else rows[6] == rows[5])
-        by = rows[7] if len(rows) > 7 else rows[1]
-        a, b = a[by[a] != by[b]], b[by[a] != by[b]]
+        a, b = trie_join(np.zeros_like(tid), _bytes(bits), most, None if x[0] == y[0] else block == y)
+        a, b = a[group[a] != group[b]], b[group[a] != group[b]]
         if forest and len(a):
-            tree, _ = spanning(rows.shape[1], a, b)
+            tree, _ = spanning(len(tid), a, b)
             a, b = a[tree], b[tree]
-        yield _pairs(rows[1], a, b)
+        yield _pairs(tid, a, b)
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-        change = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[4]) != 0) | (np.diff(rows[5]) != 0)) + 1
+        change = np.flatnonzero((np.diff(rows[:3], axis=1) != 0).any(axis=0)) + 1
         for part in np.split(rows, change, axis=1):
-            if carry and (carry[-1][[0, 4, 5], 0] != part[[0, 4, 5], 0]).any():
+            if carry and part.shape[1] and (carry[-1][:3, 0] != part[:3, 0]).any():
                 yield from join(np.concatenate(carry, axis=1))
                 carry = []
-            carry.append(part)
+            if part.shape[1]:
+                carry.append(part)
     if carry:
         yield from join(np.concatenate(carry, axis=1))
 
 
 def _bucketed(texts: DataFrame, shingle: int, threshold: float, forest: bool) -> DataFrame:
     """Pairs of the buckets that fit a task, and, with a null ``b``, the rows of those that don't, with block numbers."""
-    prints = texts.mapInArrow(partial(_fingerprints, shingle=shingle, rotations=turns(threshold)), "key bigint, tid bigint, bits_a bigint, bits_b bigint")
+    schema = "key bigint, tid bigint, " + ", ".join(f"{b} bigint" for b in BITS)
+    prints = texts.mapInArrow(partial(_fingerprints, shingle=shingle, rotations=turns(threshold)), schema)
     return checkpointed(prints.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_buckets, most=budget(threshold), forest=forest), PAIRS).distinct())
 
 
 def _of_blocks(rows: DataFrame, others: Column, threshold: float, forest: bool = False) -> DataFrame:
-    """Pairs of rows(key, a, bits_a, bits_b, block, last, ...) of a block and each of the ``others``."""
-    more = ["group"] * ("group" in rows.columns)
-    blocks = rows.select("key", F.col("a").alias("tid"), "bits_a", "bits_b", "block", F.explode(others).alias("other"), *more)
-    blocks = blocks.select("key", "tid", "bits_a", "bits_b", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", *more)
+    """Pairs of rows(key, a, block, last, group, ...) of different groups, of a block and each of the ``others``."""
+    blocks = rows.select("key", F.col("a").alias("tid"), *BITS, "block", "group", F.explode(others).alias("other"))
+    blocks = blocks.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "tid", "group", *BITS)
     blocks = blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     return blocks.mapInArrow(partial(_blocks, most=budget(threshold), forest=forest), PAIRS).select("a", "b")
 
@@ -311,7 +312,7 @@ def candidates(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     found = _bucketed(texts, shingle, threshold, False)
     hot = found.filter(F.col("b").isNull())
     hot = hot.join(hot.groupBy("key").agg(F.max("block").alias("last")), "key")
-    more = _of_blocks(hot, F.sequence(F.lit(0), "last"), threshold)
+    more = _of_blocks(hot.withColumn("group", F.col("a")), F.sequence(F.lit(0), "last"), threshold)
     return found.filter(F.col("b").isNotNull()).select("a", "b").union(more).distinct()
 
 
@@ -382,7 +383,7 @@ def group_links(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     found = _bucketed(texts, shingle, threshold, True)
     rest = found.filter(F.col("b").isNull())
     rest = checkpointed(rest.join(rest.groupBy("key").agg(F.max("block").alias("last")), "key"))
-    hot = _of_blocks(rest.filter("last > 0"), F.array_distinct(F.array(F.lit(0), "block")), threshold, True)
+    hot = _of_blocks(rest.filter("last > 0").withColumn("group", F.col("a")), F.array_distinct(F.array(F.lit(0), "block")), threshold, True)
     pairs = found.filter(F.col("b").isNotNull()).select("a", "b").union(hot).distinct()
     first = compared(checkpointed(pairs), texts, shingle, threshold).select("a", "b")
     named = components(first).select(F.col("tid").alias("a"), F.col("group_id").alias("group"))
