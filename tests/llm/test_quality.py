@@ -12,6 +12,9 @@ TEXTS = {
     "bullets": "# Things\n" + "\n".join(f"- old thing {k} by Somebody" for k in range(8)),
     "numbers": "\n\n".join(f"{k}. old thing in Town{k}" for k in range(1, 9)),
     "plain list": PROSE + "\n" + "\n".join(f"old thing number {w} in Town" for w in "abcdefghijklmnop"),
+    "ended entries": "\n".join(f"old thing by Some{w}, with 12 parts." for w in "abcdefgh"),
+    "ended entries apart": "\n\n".join(f"key{w}: old thing by Some{w}, with 12 parts." for w in "abcdefgh"),
+    "references": " ".join(f"&#{600 + k}; \\x{k % 10}f \ufffd\ufffd {k}" for k in range(30)),
     "pipes": "| a | b |\n|---|---|\n" + "| 12 | some name |\n| 13 | other name |\n" * 4,
     "tabs": "\n".join(f"name{k}\t{k * 17}\tplace{k}" for k in range(9)),
     "commas": "\n".join(f"name{k},{k * 17},place{k},{k}" for k in range(9)),
@@ -26,7 +29,7 @@ TEXTS = {
     "empty": "",
     "null": None,
 }
-KINDS = {"bullets": "list", "numbers": "list", "plain list": "list", "pipes": "table", "tabs": "table", "commas": "table", "columns": "table", "tags": "table",
+KINDS = {"bullets": "list", "numbers": "list", "plain list": "list", "ended entries": "list", "ended entries apart": "list", "references": "junk", "pipes": "table", "tabs": "table", "commas": "table", "columns": "table", "tags": "table",
          "letters": "junk", "encoded": "junk", "symbols": "junk", "repeated": "junk", "keywords": "junk"}
 
 
@@ -47,8 +50,19 @@ def test_statistics(spark):
     row = found["short lines"]
     assert (row.n_lines, row.n_words, row.kind) == (5, 31, "prose") and round(row.end_punctuation_ratio, 2) == 0.2
     assert found["null"].n_words == 0 and found["null"].kind == "blank" and found["blank"].n_lines == 0
-    assert found["bullets"].bullet_ratio == 8 / 9 and "bullets" in found["bullets"].reasons
-    assert "repeated_lines" in found["repeated"].reasons and found["prose"].reasons == []
+    assert found["bullets"].bullet_ratio == 8 / 9 and "mostly_list" in found["bullets"].reasons and "f_line_ends" in found["bullets"].reasons
+    assert "repeated_lines" in found["repeated"].reasons and "g_duplicate_lines" in found["repeated"].reasons and found["prose"].reasons == []
+    assert all((row.kind in ("prose", "blank")) != bool(set(row.reasons) & set(Q.OWN)) for row in found.values())
+
+
+def test_published_statistics(spark):
+    texts = ["one two... three… 4 5\nsix # seven ...\nsix # seven ...", "a" * 40, "#", "...."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in Q.text_statistics(docs, frames(spark)[1]).collect()}
+    row = found[0]
+    assert (row.n_words, row.hash_ratio, row.ellipsis_ratio, row.ellipsis_line_ratio, round(row.alphabetic_word_ratio, 4)) == (9, 2 / 9, 4 / 9, 2 / 3, round(7 / 9, 4))
+    assert row.under_30_ratio == 1 and found[1].under_30_ratio == 0 and round(row.duplicate_line_chars, 3) == round(12 / 41, 3)
+    assert found[3].ellipsis_line_ratio == 1 and found[2].n_words == 0 and row.common_words == 0
 
 
 def test_empty(spark):
