@@ -1,33 +1,35 @@
 """Problem 1: the main body of web pages, by a maximum-scoring subsequence of their lines.
 
 Words and tags (how a line begins and ends, its length, links, separators) have weights from labelled lines; a line's
-score is the sum of its weights, and one linear scan finds the contiguous region of greatest score.  Within the region
-the same scores, with the sign turned, take out furniture that stands between paragraphs.
+score is the sum of its weights, and one linear scan finds the contiguous region of greatest score.  What else is known
+of a line is a tag in its score too: that it is the page's title, stands before it, is known furniture, or lists other
+pages.  Within the region lines of negative score are furniture that stands between paragraphs.
 
 Nobody labels the pages by hand: in a bounded sample of pages, a line that several sites share is furniture, a whole
 sentence that stands on one page only is article.  Lines known as furniture, and lines after which other pages' titles
-follow, are counted over all pages by hashes of lines, and joined back to the pages that have them.
+follow, are counted over all pages by hashes of lines, and joined back to the pages that have them.  Words, tags, scores
+and regions of a batch of pages are numpy columns.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import math
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import list_array, slices
+from tessera.llm.arrays import U, Words, list_array, mix, slices
 from tessera.session import checkpointed, spread
 
-#: Pages that the weights are fitted on, about; weights that are shipped to the tasks, at most.
-SAMPLE_PAGES, WEIGHTS = 4_000, 20_000
+#: Pages that the weights are fitted on, about.
+SAMPLE_PAGES = 4_000
 #: Sites that share a line of furniture; times that a line must be seen to be judged as an opener, and the share of titles after it.
 SITES, SEEN, OPENS = 3, 4, 0.6
 #: Sites that make a line known furniture wherever it stands, or fewer sites and so many pages.
@@ -37,119 +39,189 @@ SENTENCE, TITLE = 1, 2
 #: Score from which a sentence outside the region is article.
 KEEP = 3.0
 #: A weight at most; the weight from which a token of a sentence counts for the article; the scores below which a
-#: sentence, or another line, within the region is furniture.
-CLIP, LEVEL, CUT_SENTENCE, CUT = 3.0, 0.9, 0.0, -2.0
+#: sentence, or another line, within the region is furniture; a line's score at most, which is also, negative, that of the
+#: tag of lines before the title; that of the title's tag.
+CLIP, LEVEL, CUT_SENTENCE, CUT, BOUND, HEAD = 3.0, 0.9, 0.0, -2.0, 8.0, 24.0
+#: Lines that hold something besides white space, below which a content is a snippet and no page.
+PAGE_LINES = 3
 
-WORD = re.compile(r"[^\W_]+|©|®|›|»|·|\||→|…|@")
 CLOSING = "\"'”’»)"
-NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-LINK = re.compile(r"\[[^\]]*\]\([^)]*\)")
-BULLET = re.compile(r"(?:[-*+•‣▪–]|\d{1,3}[.)]|[a-z][.)])\s+")
-SEPARATORS = re.compile(r"\s[|·›»>/•–—-]\s")
+STOPS = ".!?"
+#: Marks that count as words, those that part words when white space is around them, and those that begin an entry.
+SIGNS, PARTING, BULLETS = "©®›»·|→…@", "|·›»>/•–—-", "-*+•‣▪–"
+#: Words of a line from which each of its tags of length begins.
+LENGTHS = np.array([1, 2, 3, 4, 5, 8, 12, 20])
+TAGS = 40
+NUMBER, SITE = U(0x5EED0), U(0x5EED1)
 
 
-def normal(line: str, site: str) -> str:
-    """A line with numbers as 0 and words of the site's name as @."""
-    words = NUMBER.sub("0", line.lower()).split()
-    return " ".join(["@" if len(w) > 3 and w.strip(".,:;·|()'’s") in site else w for w in words])
+@cache
+def _spaces() -> np.ndarray:
+    return np.fromiter((chr(c).isspace() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def site_name(host: str | None, url: str | None) -> str:
-    host = host or re.sub(r"^[a-z]+://([^/:?#]*).*", r"\1", (url or "").lower(), flags=re.DOTALL)
-    return re.sub(r"[^a-z]+", " ", host.lower())
+def _of(codes: np.ndarray, marks: str) -> np.ndarray:
+    return np.isin(codes, np.array([ord(c) for c in marks], dtype=np.uint32))
 
 
-def has_end(line: str) -> bool:
-    return line.rstrip(CLOSING).endswith((".", "!", "?", ":"))
+def site_name(host: str | None, url: str | None) -> str:
+    host = host or re.sub(r"^[a-z]+://([^/:?#]*).*", r"\1", (url or "").lower(), flags=re.DOTALL)
+    return re.sub(r"[^a-z]+", " ", host.lower()).strip()
 
 
-def is_sentence(line: str) -> bool:
-    return has_end(line) and not line.endswith(("...", "…", ":")) and len(line.split()) >= 6
+@cache
+def _parts(site: str) -> np.ndarray:
+    """Hashes of all parts of a site's name that could be a word of more than three letters."""
+    parts = {w[a:b] for w in site.split() for a in range(len(w)) for b in range(a + 4, len(w) + 1)}
+    return Words([" ".join(sorted(parts))]).hash
 
 
-def is_title(line: str) -> bool:
-    """Whether a line could be a title: a link, or some words without the end of a sentence."""
-    return not has_end(line) and 2 <= len(line.split()) <= 16 or bool(LINK.search(line)) or line.endswith(("...", "…"))
+class Lines:
+    """Columns with a value for each line of the pages; ``doc`` is the index of its page, blank lines are lines too.
 
+    The titles are texts behind the pages.  Words that are part of the site's name and numbers are no words of their own.
+    """
 
-def tags(line: str, before: bool, after: bool) -> list[str]:
-    """Tokens of a line: its words, and tags in angle brackets for its form."""
-    words = WORD.findall(line)
-    n = len(words)
-    first = line[:1]
-    out = [f"<words {min(n, 4) if n < 5 else 6 if n < 8 else 9 if n < 12 else 12 if n < 20 else 20}>"]
-    out.append("<end ...>" if line.endswith(("...", "…")) else "<end .>" if line.rstrip(CLOSING).endswith((".", "!", "?")) else "<end :>" if line.endswith(":") else "<no end>")
-    if LINK.search(line):
-        out.append("<link>")
-    if BULLET.match(line):
-        out.append("<bullet>")
-    if first == "#":
-        out.append("<heading>")
-    if (k := len(SEPARATORS.findall(line))) > 0:
-        out.append(f"<parted {min(k, 3)}>")
-    if n and line.upper() == line and any(c.isalpha() for c in line):
-        out.append("<capitals>")
-    if n > 2 and sum(w[:1].isupper() for w in words) > 0.7 * n:
-        out.append("<titled>")
-    out.append(f"<blank {int(before)}{int(after)}>")
-    return words + out
+    def __init__(self, texts: list[str], sites: list[str], titles: list[str | None] | None = None):
+        docs = len(texts)
+        words = Words([*texts, *(titles or ())])
+        codes, n = words.codes, len(words.codes)
+        self.words, self.docs = words, docs
+        breaks = np.flatnonzero(codes == 10)
+        self.start, self.end = np.concatenate(([0], breaks + 1)), np.concatenate((breaks, [n]))
+        self.doc = np.searchsorted(words.offset, self.start, side="right") - 1
+        lines = len(self.start)
+
+        def count(mask: np.ndarray) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(mask)))
+            return total[self.end] - total[self.start]
+
+        space = _spaces()[codes]
+        solid = np.flatnonzero(~space)
+        first, last = np.searchsorted(solid, self.start), np.searchsorted(solid, self.end) - 1
+        self.blank = last < first
+        top = max(len(solid) - 1, 0)
+        at = lambda k: codes[solid[np.clip(k, 0, top)]] if len(solid) else np.zeros(len(k), np.uint32)
+        begin = solid[np.clip(first, 0, top)] if len(solid) else np.zeros(lines, np.int64)
+        new = ~space & np.concatenate(([True], space[:-1]))[:n]
+        pieces = count(new) if n else np.zeros(lines, np.int64)
+
+        # words: numbers and the site's own are masked
+        length = words.end - words.start
+        digit = np.concatenate(([0], np.cumsum((codes >= 48) & (codes <= 57))))
+        hashes = np.where(digit[words.end] - digit[words.start] == length, NUMBER, words.hash)
+        owner = words.doc % max(docs, 1)
+        known = [_parts(site) for site in sites]
+        salt = lambda h, doc: mix(h + doc.astype(U) * U(0x9E3779B97F4A7C15))
+        own = salt(np.concatenate(known), np.repeat(np.arange(docs), [len(k) for k in known])) if docs else np.empty(0, U)
+        self.hash = np.where(np.isin(salt(hashes, owner), own) & (length > 3), SITE, hashes)
+        self.line = np.searchsorted(self.start, words.start, side="right") - 1
+        self.first = np.searchsorted(words.start, self.start)
+        self.n_words = np.bincount(self.line, minlength=lines)
+        place = (np.arange(len(self.line)) - self.first[self.line]).astype(U)
+        self.total = np.concatenate(([U(0)], np.cumsum(mix(self.hash * U(0x100000001B3) + place), dtype=U)))
+        self.print = self.total[self.first + self.n_words] - self.total[self.first]  # of the words in order
+        held = np.stack([count(codes == ord(c)) for c in SIGNS])
+        signs = held.sum(axis=0)
+        self.signs = np.where(held > 0, 30 + np.arange(len(SIGNS))[:, None], -1)  # tokens as words are, in all lines
+        symbols = count(~space) - np.bincount(self.line, weights=length, minlength=lines).astype(np.int64)
+        self.key = np.where(self.blank, U(0), mix(self.print + symbols.astype(U) * U(0x9E3779B97F4A7C15)) | U(1))
+
+        # form
+        ends = [at(last - k) for k in range(3)]
+        dots = (ends[0] == ord(".")) & (ends[1] == ord(".")) & (ends[2] == ord(".")) & (last - 2 >= first)
+        trailing = (ends[0] == ord("…")) | dots
+        back = np.zeros(lines, np.int64)  # closing marks at the end
+        for k in range(3):
+            back += (back == k) & _of(at(last - k), CLOSING) & (last - k > first)
+        mark = at(last - back)
+        stopped, colon = _of(mark, STOPS), ends[0] == ord(":")
+        follows = np.concatenate((codes[1:], [0]))[:n]
+        link = count((codes == ord("]")) & (follows == ord("("))) > 0
+        has_end = stopped | (mark == ord(":"))
+        self.trailing, self.link = trailing & ~self.blank, link
+        self.formed = has_end & ~trailing & ~colon & (pieces >= 6) & ~self.blank
+        self.title_like = ((~has_end & (pieces >= 2) & (pieces <= 16)) | link | trailing) & ~self.blank
+        white = np.concatenate((space, [True]))
+        second = np.minimum(begin + 1, max(n - 1, 0))
+        c1 = at(first)
+        bullet = _of(c1, BULLETS) & white[np.minimum(begin + 1, n)]
+        if len(words.start):
+            one = np.clip(self.first, 0, len(words.start) - 1)
+            stop = np.minimum(words.end[one], max(n - 1, 0))
+            short = (length[one] <= 3) & ((hashes[one] == NUMBER) | (length[one] == 1)) & (words.start[one] == begin) & (self.n_words > 0)
+            bullet |= short & _of(codes[stop], ".)") & white[np.minimum(stop + 1, n)]
+        bullet &= ~self.blank
+        parting = _of(codes, PARTING) & np.concatenate(([False], space[:-1]))[:n] & np.concatenate((space[1:], [False]))[:n]
+        parted = np.minimum(count(parting), 3)
+        before = np.concatenate(([False], self.blank[:-1] & (self.doc[1:] == self.doc[:-1])))
+        after = np.concatenate((self.blank[1:] | (self.doc[1:] != self.doc[:-1]), [True]))
+        self.after_blank = before | np.concatenate(([True], self.doc[1:] != self.doc[:-1]))
+        size = np.searchsorted(LENGTHS, self.n_words + signs, side="right")
+        end = np.select([trailing, stopped, colon], [0, 1, 2], 3)
+        none = np.full(lines, -1)
+        self.tags = np.stack([
+            size, 10 + end, np.where(link, 15, none), np.where(bullet, 16, none), np.where(c1 == ord("#"), 17, none), np.where(parted > 0, 17 + parted, none),
+            25 + 2 * before + after,
+        ])
+        # the different words of each line
+        order = np.lexsort((self.hash, self.line))
+        line, value = self.line[order], self.hash[order]
+        fresh = np.concatenate(([True], (line[1:] != line[:-1]) | (value[1:] != value[:-1])))[: len(line)]
+        self.of_line, self.token = line[fresh], value[fresh].view(np.int64)
+        self.number = np.arange(lines) - np.searchsorted(self.doc, self.doc)
+
+    def pages(self) -> int:
+        """Lines of the pages, without the titles behind them."""
+        return int(np.searchsorted(self.doc, self.docs))
+
+
+def _sites(batch: pa.RecordBatch) -> list[str]:
+    return [site_name(h, u) for h, u in zip(batch.column("host").to_pylist(), batch.column("url").to_pylist())]
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of sample pages: page, site, line, tokens, whether a sentence or a title, and the line that follows at once."""
+    """Lines of sample pages: page, site, line, tokens (words by hash, tags by negative numbers), and whether a sentence."""
     for batch in slices(batches, "content"):
-        rows = []
-        for page, host, url, text in zip(*(batch.column(c).to_pylist() for c in ("result_id", "host", "url", "content"))):
-            site = site_name(host, url)
-            lines = [x.strip() for x in text.split("\n")]
-            plain = [normal(x, site) for x in lines]
-            for k, line in enumerate(lines):
-                if line:
-                    after = k + 1 < len(lines) and bool(lines[k + 1])
-                    tokens = sorted(set(tags(plain[k], k > 0 and not lines[k - 1], not after)))
-                    rows.append((page, site, plain[k], tokens, is_sentence(line), is_title(line), plain[k + 1] if after else None))
-        columns = list(zip(*rows)) or [()] * 7
-        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["page", "site", "line", "tokens", "sentence", "title", "next"])
-
-
-def fit(pages: DataFrame) -> dict[str, float]:
-    """Weights of tokens, from a sample of about ``SAMPLE_PAGES`` pages."""
+        sites = _sites(batch)
+        x = Lines(batch.column("content").to_pylist(), sites)
+        full = np.flatnonzero(~x.blank)
+        words = list_array(x.token, np.bincount(x.of_line, minlength=len(x.start)), pa.int64()).take(pa.array(full))
+        tags = np.concatenate((x.tags, x.signs))[:, full].T
+        given = list_array((-1 - tags[tags >= 0]).astype(np.int64), (tags >= 0).sum(axis=1), pa.int64())
+        page, site = batch.column("result_id").take(pa.array(x.doc[full])), pa.array(sites, pa.string()).take(pa.array(x.doc[full]))
+        yield pa.RecordBatch.from_arrays([page, site, pa.array(x.key[full].view(np.int64)), words, given, pa.array(x.formed[full])], names=["page", "site", "line", "words", "tags", "sentence"])
+
+
+def fit(pages: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in order and their weights, from a sample of about ``SAMPLE_PAGES`` pages, which bounds them."""
     share = min(1.0, SAMPLE_PAGES / max(1, pages.select("result_id").count()))
     sample = pages.filter(F.pmod(F.xxhash64("result_id"), F.lit(1_000_000)) < share * 1_000_000)
-    schema = "page string, site string, line string, tokens array<string>, sentence boolean, title boolean, next string"
+    schema = "page string, site string, line bigint, words array<bigint>, tags array<bigint>, sentence boolean"
     lines = spread(sample.select("result_id", "host", "url", "content"), "result_id").mapInArrow(_lines, schema).persist()
     seen = lines.groupBy("line").agg(F.countDistinct("page").alias("pages"), F.countDistinct("site").alias("sites"))
     label = F.when(F.col("sites") >= SITES, 1).when((F.col("pages") == 1) & F.col("sentence"), 0)
     labelled = lines.join(seen, "line").withColumn("furniture", label).filter("furniture is not null")
     # a line counts once for each site, so that the largest sites don't rule
     labelled = labelled.dropDuplicates(["site", "line"])
+    tokens = labelled.select("furniture", F.explode(F.concat("words", "tags")).alias("token")).groupBy("token")
+    tokens = tokens.agg(F.sum("furniture").alias("bad"), F.sum(1 - F.col("furniture")).alias("good")).filter("good + bad >= 3")
     total = {r["furniture"]: r["count"] for r in labelled.groupBy("furniture").count().collect()}
-    tokens = labelled.select("furniture", F.explode("tokens").alias("token")).groupBy("token").agg(
-        F.sum("furniture").alias("bad"), F.sum(1 - F.col("furniture")).alias("good")
-    )
-    rows = tokens.filter("good + bad >= 3").orderBy(F.desc(F.col("good") + F.col("bad")), "token").limit(WEIGHTS).collect()
-    good, bad = total.get(0, 0) + 1.0, total.get(1, 0) + 1.0
-    odds = lambda r: math.log((r["good"] + 0.3) / good) - math.log((r["bad"] + 0.3) / bad)
-    weights = {r["token"]: round(max(-CLIP, min(CLIP, odds(r))), 3) for r in rows}
+    rows = tokens.toArrow().sort_by("token")
     lines.unpersist()
-    return weights
+    good, bad = rows["good"].to_numpy() + 0.3, rows["bad"].to_numpy() + 0.3
+    odds = np.log(good / (total.get(0, 0) + 1.0)) - np.log(bad / (total.get(1, 0) + 1.0))
+    return rows["token"].to_numpy(), np.clip(odds, -CLIP, CLIP)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each row its lines in order: a hash of the line without numbers and site, 0 for a blank line, and bits of its form."""
-    digest = lambda x: hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest()
     for batch in slices(batches, "content"):
-        sites, found, forms, counts = [], [], [], []
-        for host, url, text in zip(*(batch.column(c).to_pylist() for c in ("host", "url", "content"))):
-            site = site_name(host, url)
-            lines = [x.strip() for x in text.split("\n")]
-            sites.append(digest(site))
-            found += [digest(normal(x, site)) if x else bytes(8) for x in lines]
-            forms += [is_sentence(x) * SENTENCE + is_title(x) * TITLE if x else 0 for x in lines]
-            counts.append(len(lines))
-        numbers = lambda x: np.frombuffer(b"".join(x), dtype="<i8")
-        columns = [batch.column("key"), batch.column("page"), pa.array(numbers(sites)), list_array(numbers(found), counts, pa.int64()), list_array(np.array(forms, np.int8), counts, pa.int8())]
+        sites = _sites(batch)
+        x = Lines(batch.column("content").to_pylist(), sites)
+        counts = np.bincount(x.doc, minlength=batch.num_rows)
+        forms = (x.formed * SENTENCE + x.title_like * TITLE).astype(np.int8)
+        columns = [batch.column("key"), batch.column("page"), pa.array(sites, pa.string()), list_array(x.key.view(np.int64), counts, pa.int64()), list_array(forms, counts, pa.int8())]
         yield pa.RecordBatch.from_arrays(columns, names=["key", "page", "site", "lines", "forms"])
 
 
@@ -160,8 +232,8 @@ def marks(pages: DataFrame) -> DataFrame:
     line counts once for each ``result_id`` of a site.
     """
     rows = pages.select("key", F.xxhash64("result_id").alias("page"), "host", "url", "content")
-    rows = spread(rows, "key").mapInArrow(_hashes, "key bigint, page bigint, site bigint, lines array<bigint>, forms array<tinyint>")
-    rows = checkpointed(rows.dropDuplicates(["key"]))
+    rows = spread(rows, "key").mapInArrow(_hashes, "key bigint, page bigint, site string, lines array<bigint>, forms array<tinyint>")
+    rows = checkpointed(rows.withColumn("site", F.xxhash64("site")).dropDuplicates(["key"]))
     of_page = rows.groupBy("page", "site").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
     of_site = of_page.select("site", F.explode("lines").alias("line")).filter("line <> 0").groupBy("line", "site").agg(F.count("*").alias("pages"))
     seen = of_site.groupBy("line").agg(F.count("*").alias("sites"), F.sum("pages").alias("pages"))
@@ -187,78 +259,106 @@ def marks(pages: DataFrame) -> DataFrame:
     return hit.groupBy("key").agg(at(F.col("opens")).alias("openers"), at(~F.col("opens")).alias("common"))
 
 
-def best_region(scores: list[float]) -> tuple[int, int]:
-    """Bounds [a, b) of the contiguous region of greatest sum; (0, 0) if no score is positive."""
-    best, bounds, total, begin = 0.0, (0, 0), 0.0, 0
-    for k, s in enumerate(scores):
-        if total <= 0:
-            total, begin = 0.0, k
-        total += s
-        if total > best:
-            best, bounds = total, (begin, k + 1)
-    return bounds
-
-
-def furniture(text: str, title: str | None, site: str, weights: dict[str, float], openers: set[int], common: set[int]) -> list[int]:
-    """Indices of the lines of a page that aren't its article; ``openers`` and ``common`` are indices of lines too."""
-    lines = [x.strip() for x in text.split("\n")]
-    full = [k for k, x in enumerate(lines) if x]
-    if len(full) < 3:
-        return []  # a snippet
-    name = re.sub(r"\W+", "", html.unescape(title or "").lower())
-    plain = [normal(x, site) for x in lines]
-    score, other, opened, known, heading = {}, set(), False, False, 0
-    for k in full:
-        line = lines[k]
-        blank = not lines[k - 1] if k else True
-        bare = re.sub(r"\W+", "", line.lower())
-        if name and (bare == name or (len(bare) > 20 and name.startswith(bare))) and not known and not LINK.search(line):
-            score[k], known, opened, heading = 8.0, True, False, k
-            continue
-        tokens = set(tags(plain[k], k > 0 and not lines[k - 1], k + 1 >= len(lines) or not lines[k + 1]))
-        # the form of a line tells sentences; headings and lists of the article have the form of furniture, so their words decide
-        formed = is_sentence(line)
-        score[k] = sum(weights[t] - LEVEL for t in tokens if t in weights) if formed else sum(weights.get(t, 0.0) for t in tokens if t[0] != "<")
-        if blank:
-            opened = False
-        if opened and not formed:
-            other.add(k)
-        elif k in openers:
-            opened = True
-            other.add(k)
-        else:
-            opened = False
-        if k in common:
-            other.add(k)
-    for k, following in zip(full, full[1:]):  # a teaser: a title with the beginning of its text
-        if lines[following].endswith(("...", "…")) and following == k + 1 and not is_sentence(lines[k]):
-            other |= {k, following}
-    for k in other:
-        score[k] = min(score[k], -CLIP)
-    bounded = {k: max(-8.0, min(8.0, s)) for k, s in score.items()}
-    a, b = best_region([bounded[k] for k in full])
-    if known:  # the article begins with its title
-        a = full.index(heading)
-    inside = lambda at, k: a <= at < b or (is_sentence(lines[k]) and score[k] >= KEEP)
-    return [k for at, k in enumerate(full) if not inside(at, k) or k in other or score[k] < (CUT_SENTENCE if is_sentence(lines[k]) else CUT)]
-
-
-def _furniture(batches: Iterator[pa.RecordBatch], weights: dict[str, float], body: bool) -> Iterator[pa.RecordBatch]:
+def best_regions(scores: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds [a, b) of the contiguous region of greatest sum within each page's rows, by one scan over all; a = b if no score is positive."""
+    edge = np.searchsorted(doc, np.arange(docs + 1))
+    far = (np.abs(scores).sum() if len(scores) else 0.0) + 1.0
+    fall = doc * far  # so that no region reaches into another page
+    upto = np.cumsum(scores)
+    low = np.minimum.accumulate(upto - scores - fall)
+    begin = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))[: len(scores)]
+    gain = upto - fall - low
+    a, b = edge[:-1].copy(), edge[:-1].copy()
+    some = np.flatnonzero(edge[1:] > edge[:-1])
+    if len(some):
+        most = np.maximum.reduceat(gain, edge[some])
+        first = np.searchsorted(doc, some)
+        hit = np.flatnonzero(gain == np.repeat(most, np.diff(np.append(first, len(doc)))))
+        best = hit[np.searchsorted(doc[hit], some)]
+        good = most > 1e-9
+        b[some[good]] = best[good] + 1
+        a[some[good]] = begin[np.searchsorted(begin, best[good], side="right") - 1]
+    return a, b
+
+
+def furniture(texts: list[str], titles: list[str | None], sites: list[str], weights: tuple[np.ndarray, np.ndarray], openers: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pages and line indices of the lines that aren't article; ``openers`` and ``common`` are (page, line index) columns."""
+    if not texts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    x = Lines(texts, sites, [html.unescape(t or "") for t in titles])
+    lines, docs = x.pages(), len(texts)
+    tokens, weight = weights
+    spot = np.searchsorted(tokens, x.token)
+    held = (spot < len(tokens)) & (tokens[np.minimum(spot, max(len(tokens) - 1, 0))] == x.token) if len(tokens) else np.zeros(len(x.token), bool)
+    of_word = np.bincount(x.of_line[held], weights=weight[spot[held]], minlength=len(x.start))
+    words = np.bincount(x.of_line[held], minlength=len(x.start))
+    of_tag, has_tag = np.zeros(TAGS), np.zeros(TAGS, dtype=bool)
+    mine = tokens < 0
+    mine &= tokens >= -TAGS
+    of_tag[-1 - tokens[mine]], has_tag[-1 - tokens[mine]] = weight[mine], True
+    summed = lambda tags: ((of_tag[tags] * (tags >= 0)).sum(axis=0), (has_tag[tags] & (tags >= 0)).sum(axis=0))
+    (tag_sum, tag_count), (sign_sum, sign_count) = summed(x.tags), summed(x.signs)
+    of_word, words = of_word + sign_sum, words + sign_count
+    # the form of a line tells sentences; headings and lists of the article have the form of furniture, so their words decide
+    score = np.where(x.formed, of_word + tag_sum - LEVEL * (words + tag_count), of_word)[:lines]
+    doc, blank, formed, line = x.doc[:lines], x.blank[:lines], x.formed[:lines], np.arange(lines)
+    begin = np.searchsorted(doc, np.arange(docs + 1))
+
+    # the first line that is the page's title, or a long beginning of it
+    title = np.searchsorted(x.start, x.words.offset[docs:])  # titles are lines too; one with a line break is taken to its first
+    own = title[doc]
+    n = x.n_words[:lines]
+    upto = x.total[x.first[own] + np.minimum(n, x.n_words[own])] - x.total[x.first[own]]
+    named = (n > 0) & (n <= x.n_words[own]) & (x.print[:lines] == upto) & ((n == x.n_words[own]) | (x.end - x.start > 24)[:lines]) & ~x.link[:lines]
+    at = np.full(docs, lines)
+    np.minimum.at(at, doc[named], line[named])
+    is_title = line == at[doc]
+    early = (line < at[doc]) & (at[doc] < lines)
+
+    # lines known as furniture, those that follow a line that opens a list of other pages, and teasers: a title with the beginning of its text
+    opens, other = np.zeros(lines, dtype=bool), np.zeros(lines, dtype=bool)
+    opens[begin[openers[0]] + openers[1]] = True
+    other[begin[common[0]] + common[1]] = True
+    block = np.cumsum(x.after_blank[:lines] | blank | formed | is_title)
+    first = np.full(block[-1] + 1 if lines else 1, lines)
+    np.minimum.at(first, block[opens], line[opens])
+    listed = (line > first[block]) & ~formed & ~blank if lines else other
+    other |= listed | opens
+    teaser = x.trailing[1:lines] & ~blank[:-1] & ~formed[:-1] & (doc[1:] == doc[:-1]) if lines else np.zeros(0, bool)
+    other[1:] |= teaser
+    other[:-1] |= teaser
+    score = np.where(other, np.minimum(score, -CLIP), score)
+    score = np.where(is_title, HEAD, np.where(early, -BOUND, score))
+
+    full = np.flatnonzero(~blank)
+    # a list counts once in the sum, by the line that opens it, whatever its length
+    scan = np.where(is_title, HEAD, np.where(listed & ~early, 0.0, np.clip(score, -BOUND, BOUND)))
+    a, b = best_regions(scan[full], doc[full], docs)
+    place = np.arange(len(full))
+    sentence = formed[full] & (score[full] >= KEEP)
+    inside = ((place >= a[doc[full]]) & (place < b[doc[full]])) | sentence
+    gone = ~inside | (score[full] < np.where(formed[full], CUT_SENTENCE, CUT))
+    gone &= np.bincount(doc[full], minlength=docs)[doc[full]] >= PAGE_LINES  # else a snippet
+    return doc[full[gone]], line[full[gone]] - begin[doc[full[gone]]]
+
+
+def _places(column: pa.Array) -> np.ndarray:
+    """(row, value) of each value of a list column."""
+    return np.stack([pc.list_parent_indices(column).to_numpy(), pc.list_flatten(column).to_numpy().astype(np.int64)])
+
+
+def _furniture(batches: Iterator[pa.RecordBatch], weights: tuple[np.ndarray, np.ndarray], body: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "content"):
-        ids, numbers, texts = [], [], []
-        for page, title, host, url, text, openers, common in zip(*(batch.column(c).to_pylist() for c in ("result_id", "title", "host", "url", "content", "openers", "common"))):
-            found = furniture(text, title, site_name(host, url), weights, set(openers or ()), set(common or ())) if "\n" in text else []
-            if body:
-                gone = set(found)
-                ids.append(page)
-                texts.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone).strip())
-            else:
-                ids += [page] * len(found)
-                numbers += [k + 1 for k in found]
-        if body:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["result_id", "content"])
-        else:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(numbers, pa.int32())], names=["result_id", "line_no"])
+        texts = batch.column("content").to_pylist()
+        page, index = furniture(texts, batch.column("title").to_pylist(), _sites(batch), weights, _places(batch.column("openers")), _places(batch.column("common")))
+        if not body:
+            yield pa.RecordBatch.from_arrays([batch.column("result_id").take(pa.array(page)), pa.array((index + 1).astype(np.int32))], names=["result_id", "line_no"])
+            continue
+        edge, done = np.searchsorted(page, np.arange(len(texts) + 1)), []
+        for k, text in enumerate(texts):
+            gone = set(index[edge[k] : edge[k + 1]].tolist())
+            done.append("\n".join(line for j, line in enumerate(text.split("\n")) if j not in gone).strip() if gone else text)
+        yield pa.RecordBatch.from_arrays([batch.column("result_id"), pa.array(done, pa.string())], names=["result_id", "content"])
 
 
 def _run(results: DataFrame, body: bool, schema: str) -> DataFrame:
@@ -273,7 +373,7 @@ def _run(results: DataFrame, body: bool, schema: str) -> DataFrame:
 def furniture_lines(results: DataFrame) -> DataFrame:
     """``result_id`` and ``line_no`` of each non-blank line of ``results(result_id, title, host, url, content)`` that isn't article.
 
-    Texts with fewer than three lines are snippets and have none; null contents and null ids give no row; rows loaded
+    Texts with fewer than ``PAGE_LINES`` lines that hold something are snippets and have none; null contents and null ids give no row; rows loaded
     twice count once; an empty table gives an empty result; further columns are ignored.
     """
     return _run(results, False, "result_id string, line_no int")

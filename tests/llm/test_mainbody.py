@@ -1,4 +1,6 @@
-from helpers import rows
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessera.llm import mainbody as M
 
@@ -37,8 +39,32 @@ def test_empty(spark):
     assert M.furniture_lines(fixture(spark).limit(0)).count() == 0
 
 
-def test_region():
-    assert M.best_region([-1, 2, -1, 3, -5, 1]) == (1, 4) and M.best_region([-1.0]) == (0, 0) and M.best_region([]) == (0, 0)
+def best(scores):
+    """Bounds of the region of greatest sum, by all of them: the one that ends first, and of those the shortest."""
+    found = max(((sum(scores[a:b]), -b, a) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=(0, 0, 0))
+    return (found[2], -found[1]) if found[0] > 0 else None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(-4, 4), max_size=9), min_size=1, max_size=6))
+def test_regions(pages):
+    doc = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+    a, b = M.best_regions(np.array([s for p in pages for s in p], dtype=float), doc, len(pages))
+    at = 0
+    for k, p in enumerate(pages):
+        expected = best(p)
+        found = (a[k] - at, b[k] - at)
+        assert found[0] == found[1] if expected is None else sum(p[found[0] : found[1]]) == sum(p[expected[0] : expected[1]])
+        at += len(p)
+
+
+def test_forms_of_lines():
+    x = M.Lines(["# Head\n\n- one two\n12. Three\nA whole sentence of six words.”\nthis goes on...\nNews | Sport | [More](/x)\nSee also: 5\n   \nDaily 7", ""], ["daily", ""])
+    assert x.blank.tolist() == [False, True, False, False, False, False, False, False, True, False, True]
+    assert np.flatnonzero(x.formed).tolist() == [4] and np.flatnonzero(x.trailing).tolist() == [5] and np.flatnonzero(x.link).tolist() == [6]
+    assert (x.tags == 16).any(axis=0).nonzero()[0].tolist() == [2, 3] and (x.tags == 17).any(axis=0).nonzero()[0].tolist() == [0] and (x.tags == 19).any(axis=0).nonzero()[0].tolist() == [6]
+    assert x.hash[-2:].tolist() == [int(M.SITE), int(M.NUMBER)] and (x.key == 0).tolist() == x.blank.tolist()
+    assert M.Lines([], []).pages() <= 1 and len(M.furniture([], [], [], (np.empty(0, np.int64), np.empty(0)), np.empty((2, 0), np.int64), np.empty((2, 0), np.int64))[0]) == 0
 
 
 def test_lines_are_known_from_all_pages(spark, monkeypatch):
