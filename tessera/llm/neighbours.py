@@ -4,7 +4,9 @@ Unit vectors are projected on ``DIMS`` Gaussian directions.  A kd-tree fitted on
 space into tiles, which Spark spreads over tasks; each tile has its own kd-tree.  A query's projected neighbours are
 verified a few leaves at a time, nearest first, until the chi-square test holds: with the distance ``d`` of the k-th
 neighbour so far, a vector nearer than ``d`` lies beyond the projected distance ``d * sqrt(quantile)`` with probability
-``1 - CONFIDENCE`` at most.  Queries go to their own tile first and then to those other tiles that this test leaves.
+``1 - CONFIDENCE`` at most.  Queries go to their own tile first, then to the ``NEXT`` tiles that most likely hold a vector
+at the distance found, then, with the distance of these, to further ones until the rest is less likely than ``1 -
+CONFIDENCE``: where such a vector projects to is normal in each direction, which gives the likelihood of a tile's box.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ from tessera.llm.arrays import U, mix
 from tessera.session import checkpointed
 
 #: Directions of projection (even), probability with which a nearer vector is within the tested distance.
-DIMS, CONFIDENCE = 8, 0.95
-#: Vectors of a tile and of a leaf, about; vectors that the tiles' tree is fitted on, at most; tiles at least.
-TILE, LEAF, SAMPLE, LEAST_TILES = 16_384, 192, 16_384, 8
+DIMS, CONFIDENCE = 8, 0.99
+#: Vectors of a tile and of a leaf, about; tiles at least and at most (beyond 4 billion vectors tiles grow).
+TILE, LEAF, LEAST_TILES, MOST_TILES = 65_536, 96, 8, 65_536
+#: Projections that the tiles' tree is fitted on: at least, and for each tile; at most 33 MB come to the driver.
+SAMPLE, SAMPLE_OF_TILE = 16_384, 8
+#: Tiles of a query's second round; likelihood below which a tile is left out of the sum.
+NEXT, SMALL = 2, 1e-4
 #: Queries that traverse a tile together.
 BLOCK = 256
 #: Digits of a similarity that count; vectors that agree in them are ordered by id.
@@ -70,26 +76,76 @@ def kd_leaves(points: np.ndarray, leaves: int) -> list[np.ndarray]:
     return [p for p in parts if len(p)]
 
 
-def fit_tiles(points: np.ndarray, tiles: int) -> np.ndarray:
-    """Boxes (tile, dimension, low and high) that together cover the whole space, from medians of ``points``."""
-    boxes = [(np.arange(len(points)), np.stack([np.full(DIMS, -np.inf), np.full(DIMS, np.inf)], axis=1))]
-    while len(boxes) < tiles:
-        new = []
-        for rows, box in boxes:
-            spread = np.ptp(points[rows], axis=0) if len(rows) > 1 else np.zeros(DIMS)
-            dim = spread.argmax()
-            at = np.median(points[rows, dim]) if spread[dim] > 0 else np.nan
-            if not spread[dim] > 0:
-                new.append((rows, box))
-                continue
-            low, high = box.copy(), box.copy()
-            low[dim, 1] = high[dim, 0] = at
-            side = points[rows, dim] < at
-            new += [(rows[side], low), (rows[~side], high)]
-        if len(new) == len(boxes):
-            break
-        boxes = new
-    return np.stack([box for _, box in boxes])
+class Tree:
+    """A kd-tree whose leaves, the tiles, together cover the whole space: medians of ``points`` along the widest dimension."""
+
+    def __init__(self, points: np.ndarray, tiles: int):
+        box = np.stack([np.full(DIMS, -np.inf), np.full(DIMS, np.inf)])
+        boxes, dims, cuts, children = [box], [-1], [0.0], [(-1, -1)]
+        leaves = [(0, np.arange(len(points)))]
+        while len(leaves) < tiles:
+            new = []
+            for node, rows in leaves:
+                spread = np.ptp(points[rows], axis=0) if len(rows) > 1 else np.zeros(DIMS)
+                dim = int(spread.argmax())
+                at = float(np.median(points[rows, dim])) if spread[dim] > 0 else 0.0
+                side = points[rows, dim] < at if spread[dim] > 0 else np.zeros(len(rows), dtype=bool)
+                if not side.any():
+                    new.append((node, rows))
+                    continue
+                dims[node], cuts[node], children[node] = dim, at, (len(boxes), len(boxes) + 1)
+                for edge, part in ((1, rows[side]), (0, rows[~side])):
+                    inner = boxes[node].copy()
+                    inner[edge, dim] = at
+                    new.append((len(boxes), part))
+                    boxes.append(inner), dims.append(-1), cuts.append(0.0), children.append((-1, -1))
+            if len(new) == len(leaves):
+                break
+            leaves = new
+        self.low, self.high = (np.stack([b[k] for b in boxes]) for k in (0, 1))
+        self.dim, self.at, self.child = np.array(dims), np.array(cuts), np.array(children)
+        self.tile = np.full(len(boxes), -1)
+        self.tile[[node for node, _ in leaves]] = np.arange(len(leaves))
+        self.tiles = len(leaves)
+
+    def locate(self, points: np.ndarray) -> np.ndarray:
+        """The tile of each point."""
+        node = np.zeros(len(points), dtype=np.int64)
+        while True:
+            on = np.flatnonzero(self.dim[node] >= 0)
+            if not len(on):
+                return self.tile[node]
+            at = node[on]
+            node[on] = self.child[at, (points[on, self.dim[at]] >= self.at[at]).astype(int)]
+
+    def likely(self, points: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, tile, likelihood that a vector at the squared distance ``bound`` of it lies there), each query's most likely first.
+
+        Such a unit vector is the query's times their cosine and a part at right angles to it, whose projections are normal.
+        """
+        query, node = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
+        cosine = np.maximum(1 - bound / 2, 0.0)
+        points, scale = points * cosine[:, None], np.sqrt(np.maximum(1 - cosine**2, 1e-12))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(query):
+            p, s = points[query], scale[query, None]
+            share = np.prod(normal((self.high[node] - p) / s) - normal((self.low[node] - p) / s), axis=1)
+            keep = share >= SMALL
+            query, node, share = query[keep], node[keep], share[keep]
+            leaf = self.dim[node] < 0
+            found.append((query[leaf], self.tile[node[leaf]], share[leaf]))
+            query, node = np.repeat(query[~leaf], 2), self.child[node[~leaf]].ravel()
+        query, tile, share = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        order = np.lexsort((tile, -share, query))
+        return query[order], tile[order], share[order]
+
+
+def normal(z: np.ndarray) -> np.ndarray:
+    """The normal distribution's function, to seven digits (Abramowitz and Stegun 7.1.26)."""
+    x = np.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-np.minimum(x * x, 700.0))
+    return np.where(z < 0, tail / 2, 1 - tail / 2)
 
 
 def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -228,25 +284,58 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         yield from own()
 
 
-def _assign(batches: Iterator[pa.RecordBatch], boxes: np.ndarray, others: bool) -> Iterator[pa.RecordBatch]:
-    """The tile of each vector, or with ``others`` all further tiles that the test leaves to a query."""
-    low, high = boxes[:, :, 0], boxes[:, :, 1]
+def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            dense = _matrix(batch.column("dense"), np.float32)
+            low = unit(dense) @ _directions(dense.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.list_(pa.float64()))], names=["low"])
+
+
+def _assign(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.RecordBatch]:
+    """Adds the tile of each vector."""
+    for batch in batches:
+        if batch.num_rows:
+            dense = _matrix(batch.column("dense"), np.float32)
+            tile = tree.locate(unit(dense) @ _directions(dense.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), *batch.columns], names=["tile", *batch.schema.names])
+
+
+def further(tree: Tree, points: np.ndarray, first: np.ndarray, bound: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, tile) of the second round, with the squared distances ``first`` found at home, or of the third, with ``bound`` from both rounds."""
+    home = tree.locate(points)
+
+    def within(bound: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+        query, tile, share = tree.likely(points, bound)
+        before = np.cumsum(share) - share
+        begin = np.searchsorted(query, query)
+        away = tile != home[query]
+        keep = away & (before - before[begin] < CONFIDENCE) if len(query) else away
+        if most is not None and len(query):
+            rank = np.cumsum(away) - (np.cumsum(away) - away)[begin]
+            keep &= rank <= most
+        return query[keep], tile[keep]
+
+    query, tile = within(first, NEXT)
+    if bound is None:
+        return query, tile
+    seen = query * tree.tiles + tile
+    query, tile = within(bound, None)
+    new = ~np.isin(query * tree.tiles + tile, seen)
+    return query[new], tile[new]
+
+
+def _ask(batches: Iterator[pa.RecordBatch], tree: Tree, last: bool) -> Iterator[pa.RecordBatch]:
+    """Queries (vec, dense, first, bound) with each tile of the second, or the last, round."""
     for batch in batches:
         if not batch.num_rows:
             continue
         dense = _matrix(batch.column("dense"), np.float32)
         points = unit(dense) @ _directions(dense.shape[1])
         for at in range(0, len(points), 1024):
-            far = box_distance(points[at : at + 1024], low, high)
-            home = far.argmin(axis=1)
-            if not others:
-                some = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *some.columns], names=["tile", *some.schema.names])
-                continue
-            open_ = far <= chi_square() * batch.column("bound").to_numpy()[at : at + 1024, None]
-            open_[np.arange(len(home)), home] = False
-            row, to = np.nonzero(open_)
-            some = batch.take(pa.array(row + at))
+            some = batch.slice(at, 1024)
+            row, to = further(tree, points[at : at + 1024], some.column("first").to_numpy(), some.column("bound").to_numpy() if last else None)
+            some = some.take(pa.array(row)).select(["vec", "dense", "bound"])
             yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *some.columns], names=["tile", *some.schema.names])
 
 
@@ -281,26 +370,32 @@ def nearest(points: DataFrame, k: int = 5) -> DataFrame:
     vectors = points.withColumn("n", first).filter(F.col("n") <= k + 1)
     vectors = vectors.groupBy("vec").agg(F.first("dense").alias("dense"), F.sort_array(F.collect_list("point_id")).alias("ids"))
     vectors = checkpointed(vectors)
-    sample = vectors.orderBy(F.xxhash64("vec")).select("dense").limit(SAMPLE).toArrow()["dense"]
-    dense = _matrix(sample, np.float32) if len(sample) else np.ones((1, 64), dtype=np.float32)
-    tiles = max(LEAST_TILES, math.ceil(vectors.count() / TILE))
-    boxes = fit_tiles(unit(dense) @ _directions(dense.shape[1]), tiles)
+    tiles = min(MOST_TILES, max(LEAST_TILES, math.ceil(vectors.count() / TILE)))
+    sample = vectors.orderBy(F.xxhash64("vec")).select("dense").limit(max(SAMPLE, SAMPLE_OF_TILE * tiles)).mapInArrow(_project, "low array<double>").toArrow()["low"]
+    tree = Tree(_matrix(sample, np.float64) if len(sample) else np.zeros((1, DIMS)), tiles)
 
     columns = "tile int, vec bigint, dense array<float>, ids array<bigint>"
-    placed = checkpointed(vectors.mapInArrow(partial(_assign, boxes=boxes, others=False), columns))
+    placed = checkpointed(vectors.mapInArrow(partial(_assign, tree=tree), columns))
     none = F.lit(None).cast("double").alias("bound")
     data = placed.select("tile", F.lit(False).alias("query"), "vec", "dense", "ids", F.lit(True).alias("asks"), none)
 
     def search(rows: DataFrame) -> DataFrame:
-        return rows.repartitionByRange(len(boxes), "tile").sortWithinPartitions("tile", "query").mapInArrow(partial(_search, k=k), FOUND)
+        return rows.repartitionByRange(tree.tiles, "tile").sortWithinPartitions("tile", "query").mapInArrow(partial(_search, k=k), FOUND)
+
+    def ask(bounds: DataFrame, last: bool) -> DataFrame:
+        asking = vectors.select("vec", "dense").join(bounds, "vec").mapInArrow(partial(_ask, tree=tree, last=last), "tile int, vec bigint, dense array<float>, bound double")
+        asking = asking.select("tile", F.lit(True).alias("query"), "vec", "dense", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(True).alias("asks"), "bound")
+        return search(data.withColumn("asks", F.lit(False)).union(asking))
 
     home = checkpointed(search(data))
-    bounds = home.groupBy("vec").agg(F.min("bound").alias("bound"))
-    asking = vectors.join(bounds, "vec").select("vec", "dense", "bound")
-    asking = asking.mapInArrow(partial(_assign, boxes=boxes, others=True), "tile int, vec bigint, dense array<float>, bound double")
-    asking = asking.select("tile", F.lit(True).alias("query"), "vec", "dense", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(True).alias("asks"), "bound")
-    away = search(data.withColumn("asks", F.lit(False)).union(asking))
-    found = home.union(away).filter(F.col("point_id").isNotNull()).select("vec", "sim", "point_id")
+    first = home.groupBy("vec").agg(F.min("bound").alias("bound")).select("vec", F.col("bound").alias("first"), "bound")
+    near = checkpointed(home.union(ask(first, False)))
+    kth = F.element_at(F.sort_array(F.collect_list("sim"), asc=False), k)  # a tile gives k at most, and there are NEXT + 1 of them
+    bounds = near.groupBy("vec").agg(F.min("bound").alias("bound"), F.when(F.count("sim") >= k, kth).alias("kth"))
+    bounds = first.select("vec", "first").join(bounds, "vec")
+    bounds = bounds.select("vec", "first", F.least("bound", F.greatest(2 - 2 * F.col("kth"), F.lit(0.0)) + 1e-9).alias("bound"))
+    away = ask(bounds, True)
+    found = near.union(away).filter(F.col("point_id").isNotNull()).select("vec", "sim", "point_id")
 
     own = vectors.select("vec", F.lit(1.0).alias("sim"), F.explode("ids").alias("point_id"))
     rank = F.row_number().over(Window.partitionBy("vec").orderBy(F.col("sim").desc(), "point_id"))

@@ -77,3 +77,42 @@ def test_odd_points(spark):
 
 def test_chi_square():
     assert N.chi_square(0.95, 8) == pytest.approx(15.507, abs=1e-3) and N.chi_square(0.99, 2) == pytest.approx(9.210, abs=1e-3)
+
+
+def test_tree():
+    g = np.random.default_rng(3)
+    points = g.standard_normal((3000, N.DIMS))
+    tree = N.Tree(points, 64)
+    assert tree.tiles == 64 and np.bincount(tree.locate(points), minlength=64).min() > 30
+    leaf = {t: n for n, t in enumerate(tree.tile) if t >= 0}
+    for p, tile in zip(points[:200], tree.locate(points[:200])):
+        assert (tree.low[leaf[tile]] <= p).all() and (p < tree.high[leaf[tile]]).all()
+    query, tile, share = tree.likely(points[:50], np.full(50, 0.3))
+    for q in range(50):  # as often as offsets of that size end there
+        ends = np.bincount(tree.locate(0.85 * points[q] + np.sqrt(1 - 0.85**2) * g.standard_normal((4000, N.DIMS))), minlength=64) / 4000
+        mine = np.zeros(64)
+        mine[tile[query == q]] = share[query == q]
+        assert np.abs(mine - ends).max() < 0.05
+    same = N.Tree(np.ones((10, N.DIMS)), 8)
+    assert same.tiles == 1 and same.locate(points).max() == 0
+    assert N.normal(np.array([-9.0, 0.0, 1.96, np.inf, -np.inf])).round(4).tolist() == [0, 0.5, 0.975, 1, 0]
+
+
+KINDS = {
+    "isotropic": lambda g, n: g.standard_normal((n, 64)),
+    "loose clusters": lambda g, n: g.standard_normal((n // 20, 64))[g.integers(0, n // 20, n)] + 0.7 * g.standard_normal((n, 64)),
+    "low rank": lambda g, n: g.standard_normal((n, 5)) @ g.standard_normal((5, 64)) + 0.05 * g.standard_normal((n, 64)),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_recall_over_many_tiles(spark, monkeypatch, kind):
+    monkeypatch.setattr(N, "LEAST_TILES", 64)
+    made = KINDS[kind](np.random.default_rng(9), 3000).astype(np.float32)
+    vectors = {k: v for k, v in enumerate(made)}
+    found = {}
+    for r in N.nearest(spark.createDataFrame([(i, "c", v.tolist(), T[0], 0) for i, v in vectors.items()], SCHEMA)).collect():
+        found.setdefault(r.point_id, set()).add(r.neighbour_id)
+    expected = truth(vectors)
+    hits = sum(len(found[i] & set(expected[i])) for i in expected)
+    assert hits >= 0.97 * 5 * len(expected)
