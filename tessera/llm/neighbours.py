@@ -4,9 +4,9 @@ Unit vectors are projected on ``DIMS`` Gaussian directions.  A kd-tree fitted on
 space into tiles, which Spark spreads over tasks; each tile has its own kd-tree.  A query's projected neighbours are
 verified a few leaves at a time, nearest first, until the chi-square test holds: with the distance ``d`` of the k-th
 neighbour so far, a vector nearer than ``d`` lies beyond the projected distance ``d * sqrt(quantile)`` with probability
-``1 - CONFIDENCE`` at most.  Queries go to their own tile first, then to the ``NEXT`` tiles that most likely hold a vector
-at the distance found, then, with the distance of these, to further ones until the rest is less likely than ``1 -
-CONFIDENCE``: where such a vector projects to is normal in each direction, which gives the likelihood of a tile's box.
+``1 - CONFIDENCE`` at most.  Queries go to their own tile first, then in rounds to ``NEXT`` tiles, ``GROWTH`` times as many
+and so on, those first that most likely hold a vector at the distance found so far, until the rest is less likely than ``1 -
+TOGETHER``: where such a vector projects to is normal in each direction, which gives the likelihood of a tile's box.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ DIMS, CONFIDENCE = 8, 0.99
 TILE, LEAF, LEAST_TILES, MOST_TILES = 65_536, 96, 8, 65_536
 #: Projections that the tiles' tree is fitted on: at least, and for each tile; at most 33 MB come to the driver.
 SAMPLE, SAMPLE_OF_TILE = 16_384, 8
-#: Tiles of a query's second round; likelihood below which a tile is left out of the sum.
-NEXT, SMALL = 2, 1e-4
+#: Tiles of a query's first round away from home and how many times as many each further round has; likelihood of the
+#: tiles asked together; that below which a tile is left out of the sum.
+NEXT, GROWTH, TOGETHER, SMALL = 2, 4, 0.999, 1e-5
 #: Queries that traverse a tile together.
 BLOCK = 256
 #: Digits of a similarity that count; vectors that agree in them are ordered by id.
@@ -301,32 +302,26 @@ def _assign(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), *batch.columns], names=["tile", *batch.schema.names])
 
 
-def further(tree: Tree, points: np.ndarray, first: np.ndarray, bound: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(query, tile) of the second round, with the squared distances ``first`` found at home, or of the third, with ``bound`` from both rounds."""
-    home = tree.locate(points)
-
-    def within(bound: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-        query, tile, share = tree.likely(points, bound)
-        before = np.cumsum(share) - share
-        begin = np.searchsorted(query, query)
-        away = tile != home[query]
-        keep = away & (before - before[begin] < CONFIDENCE) if len(query) else away
-        if most is not None and len(query):
-            rank = np.cumsum(away) - (np.cumsum(away) - away)[begin]
-            keep &= rank <= most
-        return query[keep], tile[keep]
-
-    query, tile = within(first, NEXT)
-    if bound is None:
-        return query, tile
-    seen = query * tree.tiles + tile
-    query, tile = within(bound, None)
-    new = ~np.isin(query * tree.tiles + tile, seen)
-    return query[new], tile[new]
-
-
-def _ask(batches: Iterator[pa.RecordBatch], tree: Tree, last: bool) -> Iterator[pa.RecordBatch]:
-    """Queries (vec, dense, first, bound) with each tile of the second, or the last, round."""
+def further(tree: Tree, points: np.ndarray, bound: np.ndarray, seen: list[set[int]], most: int) -> list[list[int]]:
+    """The tiles of each query's next round: ``most`` at most, those at home and ``seen`` left out."""
+    query, tile, share = tree.likely(points, bound)
+    if not len(query):
+        return [[] for _ in seen]
+    before = np.cumsum(share) - share
+    keep = before - before[np.searchsorted(query, query)] < TOGETHER
+    keep &= tile != tree.locate(points)[query]
+    out: list[list[int]] = [[] for _ in seen]
+    for q, t in zip(query[keep].tolist(), tile[keep].tolist()):
+        if len(out[q]) < most and t not in seen[q]:
+            out[q].append(t)
+    return out
+
+
+STATE = "vec bigint, bound double, sims array<double>, seen array<int>"
+
+
+def _plan(batches: Iterator[pa.RecordBatch], tree: Tree, most: int) -> Iterator[pa.RecordBatch]:
+    """Of the queries (vec, bound, sims, seen, dense) those that go on, with the ``tiles`` of the next round."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -334,9 +329,10 @@ def _ask(batches: Iterator[pa.RecordBatch], tree: Tree, last: bool) -> Iterator[
         points = unit(dense) @ _directions(dense.shape[1])
         for at in range(0, len(points), 1024):
             some = batch.slice(at, 1024)
-            row, to = further(tree, points[at : at + 1024], some.column("first").to_numpy(), some.column("bound").to_numpy() if last else None)
-            some = some.take(pa.array(row)).select(["vec", "dense", "bound"])
-            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *some.columns], names=["tile", *some.schema.names])
+            tiles = further(tree, points[at : at + 1024], some.column("bound").to_numpy(), [set(x) for x in some.column("seen").to_pylist()], most)
+            on = pa.array([k for k, t in enumerate(tiles) if t], pa.int64())
+            tiles = pa.array([t for t in tiles if t], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*some.select(["vec", "bound", "sims", "seen"]).take(on).columns, tiles], names=["vec", "bound", "sims", "seen", "tiles"])
 
 
 def valid_points(points: DataFrame) -> DataFrame:
@@ -382,20 +378,28 @@ def nearest(points: DataFrame, k: int = 5) -> DataFrame:
     def search(rows: DataFrame) -> DataFrame:
         return rows.repartitionByRange(tree.tiles, "tile").sortWithinPartitions("tile", "query").mapInArrow(partial(_search, k=k), FOUND)
 
-    def ask(bounds: DataFrame, last: bool) -> DataFrame:
-        asking = vectors.select("vec", "dense").join(bounds, "vec").mapInArrow(partial(_ask, tree=tree, last=last), "tile int, vec bigint, dense array<float>, bound double")
+    sims = F.slice(F.sort_array(F.collect_list("sim"), asc=False), 1, k)
+    found = [checkpointed(search(data))]
+    state = found[0].groupBy("vec").agg(F.min("bound").alias("bound"), sims.alias("sims")).withColumn("seen", F.array().cast("array<int>"))
+    most = NEXT
+    while most < GROWTH * tree.tiles:  # a round for each power of GROWTH up to the number of tiles
+        plan = state.join(vectors.select("vec", "dense"), "vec").select("vec", "bound", "sims", "seen", "dense")
+        plan = checkpointed(plan.mapInArrow(partial(_plan, tree=tree, most=most), f"{STATE}, tiles array<int>"))
+        if plan.isEmpty():
+            break
+        asking = plan.select("vec", "bound", F.explode("tiles").alias("tile")).join(vectors.select("vec", "dense"), "vec")
         asking = asking.select("tile", F.lit(True).alias("query"), "vec", "dense", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(True).alias("asks"), "bound")
-        return search(data.withColumn("asks", F.lit(False)).union(asking))
-
-    home = checkpointed(search(data))
-    first = home.groupBy("vec").agg(F.min("bound").alias("bound")).select("vec", F.col("bound").alias("first"), "bound")
-    near = checkpointed(home.union(ask(first, False)))
-    kth = F.element_at(F.sort_array(F.collect_list("sim"), asc=False), k)  # a tile gives k at most, and there are NEXT + 1 of them
-    bounds = near.groupBy("vec").agg(F.min("bound").alias("bound"), F.when(F.count("sim") >= k, kth).alias("kth"))
-    bounds = first.select("vec", "first").join(bounds, "vec")
-    bounds = bounds.select("vec", "first", F.least("bound", F.greatest(2 - 2 * F.col("kth"), F.lit(0.0)) + 1e-9).alias("bound"))
-    away = ask(bounds, True)
-    found = near.union(away).filter(F.col("point_id").isNotNull()).select("vec", "sim", "point_id")
+        found.append(checkpointed(search(data.withColumn("asks", F.lit(False)).union(asking))))
+        new = found[-1].groupBy("vec").agg(F.min("bound").alias("new_bound"), sims.alias("new_sims"))
+        merged = F.slice(F.sort_array(F.concat("sims", F.coalesce("new_sims", F.array().cast("array<double>"))), asc=False), 1, k)
+        state = plan.join(new, "vec", "left").select("vec", F.least("bound", "new_bound").alias("bound"), merged.alias("sims"), F.concat("seen", "tiles").alias("seen"))
+        kth = F.greatest(2 - 2 * F.try_element_at("sims", F.lit(k)), F.lit(0.0)) + 1e-9
+        state = state.withColumn("bound", F.least("bound", kth))
+        most *= GROWTH
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.union(more)
+    found = rows.filter(F.col("point_id").isNotNull()).select("vec", "sim", "point_id")
 
     own = vectors.select("vec", F.lit(1.0).alias("sim"), F.explode("ids").alias("point_id"))
     rank = F.row_number().over(Window.partitionBy("vec").orderBy(F.col("sim").desc(), "point_id"))
