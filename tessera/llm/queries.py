@@ -29,7 +29,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(_table(spark, sf_dir, "points"))
+    """The five nearest of each point, with six digits of the similarity."""
+    return neighbours.nearest(_table(spark, sf_dir, "points")).withColumn("similarity", F.round("similarity", 6))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,21 +97,28 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words"))
 
 
-_P2_FOUND = """
+_NEAREST = """
 WITH l AS (SELECT point_id, dense FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY upserted_at DESC) AS n FROM points) WHERE n = 1),
 v AS (SELECT point_id, dense::DOUBLE[64] AS v FROM l WHERE len(dense) = 64 AND NOT list_bool_or(list_transform(dense, lambda x: isnan(x))) AND list_sum(list_transform(dense, lambda x: abs(x))) > 0),
 s AS (SELECT a.point_id AS a, b.point_id AS b, round(array_cosine_similarity(a.v, b.v), 9) AS s FROM v a JOIN v b ON a.point_id <> b.point_id),
-t AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s) WHERE n <= 5)
-SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM t
+t AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s) WHERE n <= 5)
 """
 
-_P4_FOUND = """
-WITH t AS (SELECT DISTINCT 'chunks' AS src, id, content FROM chunks UNION SELECT DISTINCT 'results', result_id, content FROM search_results),
+_SIMILAR = """
+WITH RECURSIVE t AS (SELECT DISTINCT 'chunks' AS src, id, content FROM chunks UNION SELECT DISTINCT 'results', result_id, content FROM search_results),
 w AS (SELECT src, id, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM t WHERE content IS NOT NULL),
-s AS (SELECT DISTINCT src, id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT src, id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
-n AS (SELECT src, id, count(*) AS n FROM s GROUP BY 1, 2),
-p AS (SELECT a.src, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.src = b.src AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3)
-SELECT p.src, id_a, id_b FROM p JOIN n a ON a.src = p.src AND a.id = id_a JOIN n b ON b.src = p.src AND b.id = id_b WHERE c >= 0.6 * (a.n + b.n - c)
+g AS (SELECT DISTINCT src, id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT src, id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT src, id, count(*) AS n FROM g GROUP BY 1, 2),
+p AS (SELECT a.src, a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.src = b.src AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3),
+found AS (SELECT p.src, id_a, id_b FROM p JOIN n a ON a.src = p.src AND a.id = id_a JOIN n b ON b.src = p.src AND b.id = id_b WHERE c >= 0.6 * (a.n + b.n - c))
+"""
+
+_P4_GROUPS = """,
+copies AS (SELECT a.src, a.id AS id_a, b.id AS id_b FROM t a JOIN t b ON a.src = b.src AND a.content = b.content AND a.id < b.id),
+linked AS (SELECT * FROM found UNION SELECT * FROM copies),
+both_ways AS (SELECT src, id_a AS a, id_b AS b FROM linked UNION SELECT src, id_b, id_a FROM linked),
+reach(src, id, other) AS (SELECT DISTINCT src, id, id FROM t WHERE content IS NOT NULL UNION SELECT r.src, r.id, l.b FROM reach r JOIN both_ways l ON l.src = r.src AND l.a = r.other)
+SELECT src, id, min(other) AS group_id, count(*) AS members FROM reach GROUP BY 1, 2
 """
 
 _P7_FOUND = """
@@ -127,4 +135,11 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2_FOUND, "p4_found": _P4_FOUND, "p5_found": _P5_BOUNDARY, "p7_found": _P7_FOUND}
+    return {
+        "p2_found": f"{_NEAREST} SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM t",
+        "p2_nearest": f"{_NEAREST} SELECT a AS point_id, b AS neighbour_id, round(s, 6) AS similarity FROM t",
+        "p4_found": f"{_SIMILAR} SELECT * FROM found",
+        "p4_groups": _SIMILAR + _P4_GROUPS,
+        "p5_found": _P5_BOUNDARY,
+        "p7_found": _P7_FOUND,
+    }
