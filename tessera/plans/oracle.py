@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tessera.functions.text import NOISE_MARKERS, NOISE_VERBS
 from tessera.operators.retrieval import NO_RESULTS, SEPARATOR
 from tessera.sources.catalogs import BANGS, CATEGORIES, NO_PAGES, TIME_RANGES
@@ -89,13 +91,13 @@ meta AS (
   FROM valid v LEFT JOIN (SELECT request_id, count(*) AS n FROM shown GROUP BY 1) s USING (request_id)
   LEFT JOIN (SELECT n.request_id, count(*) AS n FROM normal n JOIN valid v USING (request_id) WHERE v.engines IS NULL OR list_contains(v.engines, n.engine) GROUP BY 1) t USING (request_id))"""
 
-_NOISE = f"""
-SELECT DISTINCT id, length(content) >= 20 AND (
+_IS_NOISE = f"""length(content) >= 20 AND (
   {' OR '.join(f"contains(lower(content)[1:100], {_text(m)})" for m in NOISE_MARKERS)}
   OR len(regexp_extract_all(content, '\\([12]\\d{{3}}\\)')) + len(regexp_extract_all(content, '[A-Z][a-z]+,?\\s+[A-Z]\\.')) + len(regexp_extract_all(content, 'et al\\.')) > 3
   OR len(w) = 0
-  OR (len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) / len(w) > 0.6 AND NOT list_has_any(list_transform(w, lambda x: lower(x)), [{', '.join(map(_text, NOISE_VERBS))}]))) AS noise
-FROM (SELECT id, content, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') AS w FROM chunks WHERE content IS NOT NULL)"""
+  OR (len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) / len(w) > 0.6 AND NOT list_has_any(list_transform(w, lambda x: lower(x)), [{', '.join(map(_text, NOISE_VERBS))}])))"""
+_TOKENS = "list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') AS w"
+_NOISE = f"SELECT DISTINCT id, {_IS_NOISE} AS noise FROM (SELECT id, content, {_TOKENS} FROM chunks WHERE content IS NOT NULL)"
 
 
 def _folded(pieces: str, joiner: str, most: int, header: bool = False, alone: bool = False) -> str:
@@ -138,12 +140,127 @@ _TABLE_LINES = "string_split(trim(content, ' ' || chr(10) || chr(9) || chr(13)),
 _ITEM = "([-*+] |\\d+\\.\\s)"
 _ITEMS = f"list_filter(string_split(regexp_replace(content, '\\n(\\s*{_ITEM})', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_matches(x, '^\\s*{_ITEM}'))"
 
+# markdown by lines: a recursive walk carries the type of the element that the line before belongs to
+
+_SPACE = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_SOLID = _SPACE.replace("[", "[^", 1)
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
+
+
+_ELEMENTS = f"""
+lines AS (SELECT doc_id, k, s[k] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM (
+  SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
+formed AS (SELECT *, min(CASE WHEN mark THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS closing FROM (
+  SELECT doc_id, k, line, NOT regexp_matches(line, '{_SOLID}') AS blank, regexp_matches(line, '^#{{1,6}}{_SPACE}+{_SOLID}') AS heading, contains(line, '|') AS pipe,
+    regexp_matches(line, '^{_SPACE}*([-*+] |\\p{{Nd}}+\\.{_SPACE})') AS item, regexp_matches({_strip('line')}, '^[-*_]{{3,}}$') AS rule,
+    starts_with(line, '```') AS fence, regexp_matches(line, '^{_SPACE}*```') AS mark FROM lines)),
+kinds AS (SELECT *, CASE WHEN heading THEN 'heading' WHEN fence AND closing IS NOT NULL THEN 'code_block' WHEN pipe THEN 'table' WHEN item THEN 'list'
+    WHEN rule THEN 'horizontal_rule' WHEN fence OR starts_with(line, '#') THEN 'drop' ELSE 'paragraph' END AS kind FROM formed),
+walk AS (
+  SELECT doc_id, 0::BIGINT AS k, NULL::VARCHAR AS mode, 0::BIGINT AS till, 0::BIGINT AS e FROM (SELECT DISTINCT doc_id FROM lines)
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN inside THEN 'code_block' WHEN blank THEN NULL WHEN goes_on THEN mode ELSE kind END,
+    CASE WHEN inside THEN till WHEN NOT blank AND NOT goes_on AND kind = 'code_block' THEN closing ELSE 0 END,
+    e + CASE WHEN inside OR blank OR goes_on OR kind = 'drop' THEN 0 ELSE 1 END
+  FROM (SELECT w.doc_id, m.k, w.mode, w.till, w.e, m.blank, m.kind, m.closing, m.k <= w.till AS inside,
+      coalesce((w.mode = 'table' AND m.pipe) OR (w.mode = 'list' AND (m.item OR starts_with(m.line, '  '))) OR (w.mode = 'paragraph' AND m.kind = 'paragraph'), false) AS goes_on
+    FROM walk w JOIN kinds m ON m.doc_id = w.doc_id AND m.k = w.k + 1)),
+grouped AS (
+  SELECT w.doc_id, e, any_value(mode) AS type, first(line ORDER BY w.k) AS head, string_agg(line, chr(10) ORDER BY w.k) AS whole,
+    coalesce(string_agg(line, chr(10) ORDER BY w.k) FILTER (NOT is_edge), '') AS inner_lines
+  FROM (SELECT w.*, l.line, w.k = till OR w.k = min(w.k) OVER (PARTITION BY w.doc_id, e) AS is_edge FROM walk w JOIN lines l ON l.doc_id = w.doc_id AND l.k = w.k WHERE mode IS NOT NULL AND mode <> 'drop') w
+  GROUP BY 1, 2),
+elements AS (
+  SELECT doc_id, (e - 1)::INTEGER AS pos, type, CASE type WHEN 'heading' THEN {_strip(f"regexp_extract(head, '^(#{{1,6}}){_SPACE}+({_SOLID}.*)$', 2)")} WHEN 'code_block' THEN inner_lines
+      WHEN 'horizontal_rule' THEN {_strip('head')} ELSE whole END AS content,
+    CASE WHEN type = 'heading' THEN length(regexp_extract(head, '^(#{{1,6}})', 1))::INTEGER END AS level, CASE WHEN type = 'code_block' THEN nullif({_strip('head[4:]')}, '') END AS language
+  FROM grouped)"""
+
+_SECTIONS = f"""{_ELEMENTS},
+headed AS (SELECT *, (count(*) FILTER (type = 'heading') OVER so_far)::INTEGER AS section_ord, {', '.join(
+    f"max(lpad(pos::VARCHAR, 8, '0') || content) FILTER (type = 'heading' AND level = {k}) OVER so_far AS h{k}" for k in range(1, 7)
+)} FROM elements WINDOW so_far AS (PARTITION BY doc_id ORDER BY pos)),
+sections AS (SELECT *, string_split(section_path, ' > ')[-1] AS parent_section FROM (
+  SELECT doc_id, pos, type, content, level, language, section_ord, array_to_string(list_filter([{', '.join(
+    f"CASE WHEN h{k} IS NOT NULL AND {' AND '.join([f'coalesce(h{k}[1:8] > h{j}[1:8], true)' for j in range(1, k)] or ['true'])} THEN h{k}[9:] END" for k in range(1, 7)
+)}], lambda x: x IS NOT NULL), ' > ') AS section_path FROM headed WHERE type <> 'heading' AND section_ord > 0))"""
+
+_MOST = 512
+#: For each kind of special element: its type, what stands between its parts' pieces, the pieces, where it stays whole, and whether a header stands before each part or an oversized piece alone.
+_KINDS = {
+    "table": ("type = 'table'", "\n", f"SELECT id, k, l[k + 2] AS piece, l[1] || chr(10) || l[2] AS head FROM (SELECT id, l, unnest(range(1, len(l) - 1)) AS k FROM (SELECT id, {_TABLE_LINES} AS l FROM big))", f"len({_TABLE_LINES}) < 3", True, False),
+    "code": ("type = 'code_block'", "\n", _UNNEST.format("string_split(content, chr(10))"), "false", False, False),
+    "list": ("type = 'list'", "\n", _UNNEST.format(_ITEMS), f"len({_ITEMS}) = 0", False, False),
+    "text": ("type NOT IN ('table', 'code_block', 'list')", " ", _UNNEST.format(_SENTENCES.format("content")), f"len({_SENTENCES.format('content')}) = 0", False, True),
+}
+
+
+def _cut(name: str) -> str:
+    """The parts of the oversized special elements of one kind."""
+    of_type, joiner, pieces, stays, header, alone = _KINDS[name]
+    rows = f"big AS (SELECT id, content FROM buffered WHERE special AND {of_type} AND length(content) // 4 > {_MOST} AND NOT ({stays})),\n{_folded(pieces, joiner, _MOST, header, alone)}"
+    return re.sub(r"\b(big|pieces|fold|packed)\b", rf"\1_{name}", rows)
+
+
+_CHUNKED = f"""{_SECTIONS},
+sized AS (SELECT *, length(content) // 4 AS tokens, length(content) // 4 > {_MOST} OR type IN ('code_block', 'table') AS special,
+    row_number() OVER (PARTITION BY doc_id, section_ord ORDER BY pos) AS n
+  FROM (SELECT *, {_TOKENS} FROM sections) WHERE NOT coalesce({_IS_NOISE}, false)),
+filled AS (
+  SELECT doc_id, section_ord, 0::BIGINT AS n, 0 AS own, 0 AS buffer, 0::BIGINT AS t FROM (SELECT DISTINCT doc_id, section_ord FROM sized)
+  UNION ALL
+  SELECT s.doc_id, s.section_ord, s.n, CASE WHEN s.special OR f.t + s.tokens > {_MOST} THEN f.buffer + 1 ELSE f.buffer END,
+    CASE WHEN s.special OR f.t + s.tokens > {_MOST} THEN f.buffer + 1 ELSE f.buffer END + CASE WHEN s.special THEN 1 ELSE 0 END,
+    CASE WHEN s.special THEN 0 WHEN f.t + s.tokens <= {_MOST} THEN f.t + s.tokens ELSE s.tokens END
+  FROM filled f JOIN sized s ON s.doc_id = f.doc_id AND s.section_ord = f.section_ord AND s.n = f.n + 1),
+buffered AS (
+  SELECT doc_id || ':' || section_ord || ':' || min(pos) AS id, doc_id, section_ord, min(pos) AS pos, any_value(section_path) AS section_path, any_value(parent_section) AS parent_section,
+    bool_or(special) AS special, first(type ORDER BY pos) AS type, first(language ORDER BY pos) AS language, string_agg(content, chr(10) || chr(10) ORDER BY pos) AS content
+  FROM sized s JOIN filled f USING (doc_id, section_ord, n) GROUP BY doc_id, section_ord, own),
+{', '.join(map(_cut, _KINDS))},
+cuts AS (
+  SELECT id, 1 AS part, 1 AS parts, content, length(content) // 4 AS token_count FROM buffered WHERE NOT special OR length(content) // 4 <= {_MOST}
+    OR {' OR '.join(f"({of_type} AND {stays})" for of_type, _, _, stays, _, _ in _KINDS.values())}
+  {' '.join(f"UNION ALL SELECT id, k, len(parts), parts[k].c, parts[k].t FROM (SELECT id, parts, unnest(range(1, len(parts) + 1)) AS k FROM packed_{name})" for name in _KINDS)}),
+chunked AS (
+  SELECT doc_id, section_ord, pos, part::INTEGER AS part, parts::INTEGER AS parts, c.content, token_count::INTEGER AS token_count,
+    CASE WHEN NOT special THEN 'text' WHEN type = 'table' THEN 'table' WHEN type = 'code_block' THEN 'code_' || coalesce(language, 'unknown') WHEN type = 'list' THEN 'list' ELSE 'text' END AS chunk_type,
+    section_path, parent_section
+  FROM cuts c JOIN buffered b USING (id)),
+linked AS (
+  SELECT md5(doc_id || '/' || chunk_ord) AS id, doc_id, chunk_ord, content, token_count, chunk_type, parent_section, section_path,
+    CASE WHEN parts > 1 THEN part || '/' || parts END AS split_sequence, CASE WHEN parts > 1 AND part < parts THEN md5(doc_id || '/' || (chunk_ord + 1)) END AS next_chunk_id,
+    CASE WHEN parts > 1 AND part > 1 THEN md5(doc_id || '/' || (chunk_ord - 1)) END AS prev_chunk_id
+  FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY section_ord, pos, part))::INTEGER AS chunk_ord FROM chunked))"""
+
+_OVERLAPPED = f"""{_CHUNKED},
+spaced AS (SELECT *, min(chunk_ord) OVER (PARTITION BY doc_id, section_path) AS group_ord, CASE WHEN chunk_type <> 'table' AND safe > 0 THEN before END AS given FROM (
+  SELECT *, lag(content) OVER (PARTITION BY doc_id, section_path ORDER BY chunk_ord) AS before, least(50, {_MOST} - 10 - token_count) AS safe FROM linked)),
+ends AS (SELECT id, string_agg(x, ' ' ORDER BY i) AS suffix FROM (
+    SELECT *, sum(t) OVER (PARTITION BY id ORDER BY i DESC) AS c FROM (
+      SELECT id, safe, i, s[i] AS x, length(s[i]) // 4 AS t FROM (SELECT id, safe, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT id, safe, {_SENTENCES.format('given')} AS s FROM spaced WHERE given IS NOT NULL))))
+  WHERE c - t < safe AND (c - t = 0 OR c <= 1.5 * safe) GROUP BY 1),
+lengthened AS (SELECT s.*, CASE WHEN length(suffix || chr(10) || chr(10) || content) // 4 <= {_MOST} THEN suffix || chr(10) || chr(10) || content END AS longer FROM spaced s LEFT JOIN ends USING (id))"""
+
 SQL = {
     "dense_topk": _ranked("""
   SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(array_cosine_similarity(q.embedding::DOUBLE[64], p.embedding::DOUBLE[64]), 6) AS score
   FROM embeddings q, embeddings p WHERE q.vec_id % 50 = 0"""),
     "dense_topk_points": f"WITH {_POINTS} {_DENSE}",
     "sparse_topk_points": f"WITH {_POINTS}, {_POSTINGS} {_SPARSE}",
+    "markdown_elements": f"WITH RECURSIVE {_ELEMENTS} SELECT * FROM elements",
+    "element_stats": f"""WITH RECURSIVE {_ELEMENTS}
+SELECT doc_id, pos, type, len(l) AS lines, CASE WHEN type = 'table' THEN len(string_split(regexp_replace(l[1], '^\\s*\\||\\|\\s*$', '', 'g'), '|')) ELSE len(list_filter(l, lambda x: regexp_matches(x, '^\\s*([-*+] |\\d+\\.\\s)'))) END AS parts
+FROM (SELECT *, string_split(content, chr(10)) AS l FROM elements WHERE type IN ('table', 'list'))""",
+    "section_paths": f"WITH RECURSIVE {_SECTIONS} SELECT doc_id, pos, type, section_ord, section_path, parent_section FROM sections",
+    "chunk_document": f"WITH RECURSIVE {_CHUNKED} SELECT * FROM chunked",
+    "chunk_links": f"WITH RECURSIVE {_CHUNKED} SELECT * FROM linked",
+    "chunk_overlap": f"""WITH RECURSIVE {_OVERLAPPED}
+SELECT id, doc_id, chunk_ord, coalesce(longer, content) AS content, coalesce(length(longer) // 4, token_count)::INTEGER AS token_count, chunk_type, parent_section, section_path, split_sequence, next_chunk_id, prev_chunk_id,
+  (row_number() OVER (PARTITION BY doc_id ORDER BY group_ord, chunk_ord))::INTEGER AS emit_ord FROM lengthened""",
     "sparse_postings": _lexical("documents", "doc_id"),
     "sparse_topk": f"WITH d AS ({_lexical('documents', 'doc_id')}), q AS ({_lexical('benchmark', 'item_id')}) "
     + _ranked("SELECT item_id AS query_id, doc_id AS point_id, round(sum(q.weight * d.weight), 6) AS score FROM q JOIN d USING (term) WHERE item_id % 50 = 0 GROUP BY 1, 2"),
