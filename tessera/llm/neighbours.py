@@ -206,6 +206,10 @@ class Tile:
             row = np.concatenate([np.arange(self.edge[x], self.edge[x + 1]) for x in take])
             new = vectors[q[who]] @ self.vectors[row].T
             new[keys[q[who], None] == self.keys[row]] = -2.0
+            more = new.max(axis=1) >= 1 - limit[who] / 2 - 10.0**-DIGITS  # only these have something within the bound
+            who, new = who[more], new[more]
+            if not len(who):
+                continue
             both = np.concatenate((best[who], new), axis=1)
             index = np.concatenate((at[who], np.broadcast_to(row, new.shape)), axis=1)
             top = np.argpartition(-both, best.shape[1] - 1, axis=1)[:, : best.shape[1]]
