@@ -8,13 +8,15 @@ least rank, found by a hashed lookup; rows without a mergeable pair leave the ma
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import partial
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from tessera.llm.arrays import list_array, slices
@@ -29,13 +31,15 @@ NONE = np.int32(-1)
 LONG = 256
 #: Distinct pieces that a worker remembers, at most; beyond it the memory is started anew.
 REMEMBER = 400_000
+#: Bytes of a vocabulary's file that are sent to the executors, at most.
+MOST_BYTES = 20_000_000
 
 
 class Bpe:
-    """Ranks of a ``.tiktoken`` file, with a hashed table from a pair of ids to the id of its merger."""
+    """Ranks of a ``.tiktoken`` file's content, with a hashed table from a pair of ids to the id of its merger."""
 
-    def __init__(self, path: str):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    def __init__(self, content: bytes):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.first = np.full(256, NONE, dtype=np.int32)
         left, right, to = [], [], []
@@ -153,28 +157,41 @@ class Bpe:
         return ids
 
 
-@cache
-def _tokenizer(path: str) -> tuple[Bpe, regex.Pattern, dict[str, np.ndarray]]:
-    return Bpe(path), regex.compile(PATTERN), {}
+class Encoder:
+    """A tokenizer and the pieces that it has met."""
 
+    def __init__(self, content: bytes):
+        self.bpe, self.pattern, self.known = Bpe(content), regex.compile(PATTERN), {}
 
-def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids of all texts and the number of ids of each."""
-    bpe, pattern, known = _tokenizer(path)
-    if len(known) > REMEMBER:
-        known.clear()
-    pieces = [pattern.findall(t) if t else [] for t in texts]
-    new = list({p for row in pieces for p in row if p not in known})
-    if new:
-        known.update(zip(new, bpe.merge([p.encode("utf-8", "surrogatepass") for p in new])))
-    rows = [np.concatenate([known[p] for p in row]) if row else np.empty(0, dtype=np.int32) for row in pieces]
-    counts = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-    return (np.concatenate(rows) if rows else np.empty(0, dtype=np.int32)), counts
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and the number of ids of each."""
+        known = self.known
+        if len(known) > REMEMBER:
+            known.clear()
+        pieces = [self.pattern.findall(t) if t else [] for t in texts]
+        new = list({p for row in pieces for p in row if p not in known})
+        if new:
+            known.update(zip(new, self.bpe.merge([p.encode("utf-8", "surrogatepass") for p in new])))
+        rows = [np.concatenate([known[p] for p in row]) if row else np.empty(0, dtype=np.int32) for row in pieces]
+        counts = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        return (np.concatenate(rows) if rows else np.empty(0, dtype=np.int32)), counts
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+#: The encoder of a worker, made at its first task; tasks of another vocabulary make their own.
+_MADE: dict[str, Encoder] = {}
+
+
+def _encoder(digest: str, content: Broadcast[bytes]) -> Encoder:
+    if digest not in _MADE:
+        _MADE.clear()
+        _MADE[digest] = Encoder(content.value)
+    return _MADE[digest]
+
+
+def _encode(batches: Iterator[pa.RecordBatch], digest: str, content: Broadcast[bytes]) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(digest, content)
     for batch in slices(batches, "text"):
-        ids, counts = encode_texts(batch.column("text").to_pylist(), path)
+        ids, counts = encoder.encode(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(ids, counts, pa.int32())], names=["doc_id", "ids"])
 
 
@@ -182,7 +199,12 @@ def encode_corpus(documents: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, name
     """``doc_id`` and ``ids`` of every row of ``documents(doc_id, text, ...)``, without special tokens.
 
     Null and empty texts give an empty list, blank texts their ordinary ids; strings of special tokens are ordinary
-    text.  Rows that occur twice come out twice, an empty table gives an empty one; further columns are ignored.
+    text.  Rows that occur twice come out twice, an empty table gives an empty one; further columns are ignored.  The
+    vocabulary's file is read here and sent to the executors (an error if it has more than ``MOST_BYTES``).
     """
-    path = str(Path(tokenizer_dir) / f"{name}.tiktoken")
-    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(partial(_encode, path=path), "doc_id bigint, ids array<int>")
+    content = (Path(tokenizer_dir) / f"{name}.tiktoken").read_bytes()
+    if len(content) > MOST_BYTES:
+        raise ValueError(f"a vocabulary of more than {MOST_BYTES} bytes")
+    sent = documents.sparkSession.sparkContext.broadcast(content)
+    run = partial(_encode, digest=hashlib.sha256(content).hexdigest(), content=sent)
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, ids array<int>")

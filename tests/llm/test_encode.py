@@ -1,4 +1,5 @@
 import base64
+import functools
 from pathlib import Path
 
 import pytest
@@ -18,8 +19,13 @@ def tokenizer():
     return tiktoken.Encoding("own", pat_str=E.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def encoder():
+    return E.Encoder(PATH.read_bytes())
+
+
 def ids(texts):
-    flat, counts = E.encode_texts(texts, str(PATH))
+    flat, counts = encoder().encode(texts)
     out, at = [], 0
     for n in counts:
         out.append(flat[at : at + n].tolist())
@@ -44,3 +50,9 @@ def test_rows(spark):
     assert found.dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
     assert sorted((r.doc_id, len(r.ids)) for r in found.collect()) == [(1, 0), (2, 0), (3, 1), (4, 2), (4, 2)]
     assert E.encode_corpus(df.limit(0)).count() == 0
+
+
+def test_a_vocabulary_too_large_to_send(spark, monkeypatch):
+    monkeypatch.setattr(E, "MOST_BYTES", 10)
+    with pytest.raises(ValueError):
+        E.encode_corpus(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"))
