@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from tessera.functions.text import words
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
 def hashed_bag(text: Column, dims: int = 64) -> Column:
     """A stand-in for a dense model: word counts in ``dims`` hashed places, of unit length (zeros for no words)."""
     place = F.transform(words(text), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dims).cast("int"))

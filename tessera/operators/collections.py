@@ -24,7 +24,16 @@ def store(points: DataFrame, path: str, collection: str, exists: str = "append")
     """Points appended to a collection in the table at ``path``; with ``exists="error"`` a collection that has points is an error."""
     if exists == "error" and collection_exists(points.sparkSession, path, collection):
         raise ValueError(f"collection {collection} exists")
-    points.withColumn("collection_name", F.lit(collection)).write.partitionBy("collection_name").mode("append").parquet(path)
+    store_all(points.withColumn("collection_name", F.lit(collection)), path)
+
+
+def store_all(points: DataFrame, path: str) -> None:
+    """Points of any number of collections, by their ``collection_name``, appended to the table at ``path`` in one job.
+
+    Adaptive execution splits a large collection over tasks and joins small ones; rows without a name belong to none.
+    """
+    rows = points.filter("collection_name is not null")
+    rows.hint("rebalance", "collection_name").write.partitionBy("collection_name").mode("append").parquet(path)
 
 
 def collection_exists(spark: SparkSession, path: str, collection: str) -> bool:

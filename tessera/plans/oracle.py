@@ -336,6 +336,8 @@ FROM search_requests WHERE query_text IS NOT NULL""",
 SELECT document_id, collection_name, count(*) AS points, true AS success FROM (
   SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY upserted_at DESC, document_id DESC, collection_name DESC) AS rn FROM points)
 WHERE rn = 1 AND document_id IS NOT NULL GROUP BY 1, 2""",
+    "collection_scan": f"""WITH {_POINTS}
+SELECT point_id, collection_name, chunk_id, len(dense) AS dims FROM points_now WHERE collection_name = (SELECT min(collection_name) FROM points)""",
     "search_answers": f"""WITH {_HYBRID}
 SELECT query_id, '{{"query":' || to_json(query) || ',"collection_name":"documents","context":' || to_json(context) || ',"limit":10}}' AS response FROM (
   SELECT a.query_id, a.query, coalesce(string_agg(f.content, {_text(SEPARATOR)} ORDER BY f.rerank), {_text(NO_RESULTS)}) AS context

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import chunking, collections, export, markdown, retrieval, search
-from tessera.session import checkpointed
+from tessera.session import checkpointed, shared_folder
 from tessera.sources import catalogs, html, uploads
 from tessera.sources.tables import latest, table
 from tessera.streaming import ingest
@@ -329,6 +330,16 @@ def upload_results(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("document_id", "collection_name").agg(F.count("*").alias("points")).withColumn("success", F.lit(True))
 
 
+@query
+def collection_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The newest points stored as a table of collections, and those of the first collection by name read back from it."""
+    path = f"{shared_folder(spark)}/collections-{uuid.uuid4()}"
+    points = _points(spark, d, "collection_name", "chunk_id").select("point_id", "collection_name", "chunk_id", "dense")
+    collections.store_all(points, path)
+    name = table(spark, d, "points").agg(F.min("collection_name")).first()[0]
+    return collections.collection(spark, path, name).select("point_id", "collection_name", "chunk_id", F.size("dense").alias("dims"))
+
+
 @query
 def export_summary(spark: SparkSession, d: str) -> DataFrame:
     """How many documents were asked for and how many have a file."""

@@ -20,18 +20,24 @@ def local_session(cores: str = "*", memory: str = "8g", name: str = "tessera", *
     return SparkSession.builder.master(f"local[{cores}]").appName(name).config(map=settings).getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder the cluster names in ``spark.checkpoint.dir``, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables in between, which the cluster names in ``spark.checkpoint.dir``.
 
     Only where that is unset and Spark runs in this one process, as in tests, a folder of this machine is taken; on a
     cluster without the setting it is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and context.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

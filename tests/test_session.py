@@ -2,7 +2,7 @@ import types
 
 import pytest
 
-from tessera.session import checkpointed, spread
+from tessera.session import checkpointed, shared_folder, spread
 
 
 def test_spread(spark):
@@ -22,4 +22,4 @@ def test_a_cluster_must_name_its_folder():
     context = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     session = types.SimpleNamespace(sparkContext=context, conf=types.SimpleNamespace(get=lambda name, default: default))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        checkpointed(types.SimpleNamespace(sparkSession=session))
+        shared_folder(session)
