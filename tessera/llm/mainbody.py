@@ -7,7 +7,7 @@ pages.  Within the region lines of negative score are furniture that stands betw
 
 Nobody labels the pages by hand: in a bounded sample of pages, a line that several sites share is furniture, a whole
 sentence that stands on one page only is article.  Lines known as furniture, and lines after which other pages' titles
-follow, are counted over all pages by hashes of lines, and joined back to the pages that have them.  Words, tags, scores
+follow, are counted over all pages by hashes of lines, and found again or joined back by them.  Words, tags, scores
 and regions of a batch of pages are numpy columns.
 """
 
@@ -22,6 +22,7 @@ from functools import cache, partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ SAMPLE_PAGES = 4_000
 SITES, SEEN, OPENS = 3, 4, 0.6
 #: Sites that make a line known furniture wherever it stands, or fewer sites and so many pages.
 KNOWN_SITES, FEW_SITES, MANY_PAGES = 5, 2, 8
+#: Known lines and openers whose hashes may be broadcast (16 MB), at most; more are joined to the pages that have them.
+BROADCAST_LINES = 2_000_000
 #: Bits of a line's form: a whole sentence, what could be a title.
 SENTENCE, TITLE = 1, 2
 #: Score from which a sentence outside the region is article.
@@ -225,15 +228,18 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["key", "page", "site", "lines", "forms"])
 
 
-def marks(pages: DataFrame) -> DataFrame:
-    """``key``, ``openers`` and ``common``: the places of lines that open a list of other pages and of lines known as furniture, of each page that has any.
-
-    All lines of all ``pages(key, result_id, host, url, content)`` are counted; rows of one ``key`` count once, and a
-    line counts once for each ``result_id`` of a site.
-    """
+def hashed(pages: DataFrame) -> DataFrame:
+    """``key``, ``page``, ``site``, ``lines`` and ``forms`` of each of ``pages(key, result_id, host, url, content)``; rows of one ``key`` count once."""
     rows = pages.select("key", F.xxhash64("result_id").alias("page"), "host", "url", "content")
     rows = spread(rows, "key").mapInArrow(_hashes, "key bigint, page bigint, site string, lines array<bigint>, forms array<tinyint>")
-    rows = checkpointed(rows.withColumn("site", F.xxhash64("site")).dropDuplicates(["key"]))
+    return checkpointed(rows.withColumn("site", F.xxhash64("site")).dropDuplicates(["key"]))
+
+
+def known_lines(rows: DataFrame) -> DataFrame:
+    """``line`` and ``opens`` of the ``lines`` of all ``hashed`` pages that open a list of other pages, or else are known as furniture.
+
+    A line counts once for each page of a site.
+    """
     of_page = rows.groupBy("page", "site").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
     of_site = of_page.select("site", F.explode("lines").alias("line")).filter("line <> 0").groupBy("line", "site").agg(F.count("*").alias("pages"))
     seen = of_site.groupBy("line").agg(F.count("*").alias("sites"), F.sum("pages").alias("pages"))
@@ -254,7 +260,12 @@ def marks(pages: DataFrame) -> DataFrame:
     opened = opened.groupBy("line").agg(F.sum("openers").alias("openers"), F.sum("n").alias("n"), F.count("*").alias("sites"))
     opening = opened.filter((F.col("n") >= SEEN) & (F.col("sites") >= SITES) & (F.col("openers") / F.col("n") >= OPENS)).select("line", F.lit(True).alias("opens"))
 
-    hit = rows.select("key", F.posexplode("lines").alias("at", "line")).join(known.union(opening), "line")
+    return known.union(opening)
+
+
+def marks(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``key``, ``openers`` and ``common``: the places of the ``known_lines`` of either kind of each page that has any."""
+    hit = rows.select("key", F.posexplode("lines").alias("at", "line")).join(known, "line")
     at = lambda which: F.collect_list(F.when(which, F.col("at")))
     return hit.groupBy("key").agg(at(F.col("opens")).alias("openers"), at(~F.col("opens")).alias("common"))
 
@@ -281,8 +292,15 @@ def best_regions(scores: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.nda
     return a, b
 
 
-def furniture(texts: list[str], titles: list[str | None], sites: list[str], weights: tuple[np.ndarray, np.ndarray], openers: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pages and line indices of the lines that aren't article; ``openers`` and ``common`` are (page, line index) columns."""
+Pair = tuple[np.ndarray, np.ndarray]
+
+
+def furniture(texts: list[str], titles: list[str | None], sites: list[str], weights: Pair, placed: Pair | None, known: Pair | None = None) -> Pair:
+    """Pages and line indices of the lines that aren't article.
+
+    The lines that open lists, and those known as furniture, are either ``placed``, as (page, line index) columns, or
+    ``known`` by their hashes.
+    """
     if not texts:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     x = Lines(texts, sites, [html.unescape(t or "") for t in titles])
@@ -317,8 +335,11 @@ def furniture(texts: list[str], titles: list[str | None], sites: list[str], weig
 
     # lines known as furniture, those that follow a line that opens a list of other pages, and teasers: a title with the beginning of its text
     opens, other = np.zeros(lines, dtype=bool), np.zeros(lines, dtype=bool)
-    opens[begin[openers[0]] + openers[1]] = True
-    other[begin[common[0]] + common[1]] = True
+    if known is not None:
+        opens, other = (np.isin(x.key[:lines].view(np.int64), k) & ~blank for k in known)
+    else:
+        for mask, (page, index) in zip((opens, other), placed):
+            mask[begin[page] + index] = True
     block = np.cumsum(x.after_blank[:lines] | blank | formed | is_title)
     first = np.full(block[-1] + 1 if lines else 1, lines)
     np.minimum.at(first, block[opens], line[opens])
@@ -347,10 +368,11 @@ def _places(column: pa.Array) -> np.ndarray:
     return np.stack([pc.list_parent_indices(column).to_numpy(), pc.list_flatten(column).to_numpy().astype(np.int64)])
 
 
-def _furniture(batches: Iterator[pa.RecordBatch], weights: tuple[np.ndarray, np.ndarray], body: bool) -> Iterator[pa.RecordBatch]:
+def _furniture(batches: Iterator[pa.RecordBatch], weights: Pair, known: Broadcast[Pair] | None, body: bool) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "content"):
         texts = batch.column("content").to_pylist()
-        page, index = furniture(texts, batch.column("title").to_pylist(), _sites(batch), weights, _places(batch.column("openers")), _places(batch.column("common")))
+        given = (None, known.value) if known is not None else ((_places(batch.column("openers")), _places(batch.column("common"))), None)
+        page, index = furniture(texts, batch.column("title").to_pylist(), _sites(batch), weights, *given)
         if not body:
             yield pa.RecordBatch.from_arrays([batch.column("result_id").take(pa.array(page)), pa.array((index + 1).astype(np.int32))], names=["result_id", "line_no"])
             continue
@@ -366,8 +388,17 @@ def _run(results: DataFrame, body: bool, schema: str) -> DataFrame:
     pages = pages.withColumn("key", F.xxhash64("result_id", "host", "url", "content"))
     full = pages.filter(F.col("content").contains("\n"))
     weights = fit(full)
-    marked = (pages if body else full).join(marks(full).hint("shuffle_hash"), "key", "left").drop("key")
-    return spread(marked, "result_id").mapInArrow(partial(_furniture, weights=weights, body=body), schema).distinct()
+    rows = hashed(full)
+    lines = checkpointed(known_lines(rows))
+    marked, sent = pages if body else full, None
+    if lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:  # no page moves then
+        table = lines.toArrow()
+        opens = table["opens"].to_numpy(zero_copy_only=False)
+        hashes = table["line"].to_numpy()
+        sent = results.sparkSession.sparkContext.broadcast((np.sort(hashes[opens]), np.sort(hashes[~opens])))
+    else:
+        marked = marked.join(marks(rows, lines).hint("shuffle_hash"), "key", "left")
+    return spread(marked.drop("key"), "result_id").mapInArrow(partial(_furniture, weights=weights, known=sent, body=body), schema).distinct()
 
 
 def furniture_lines(results: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def test_forms_of_lines():
     assert np.flatnonzero(x.formed).tolist() == [4] and np.flatnonzero(x.trailing).tolist() == [5] and np.flatnonzero(x.link).tolist() == [6]
     assert (x.tags == 16).any(axis=0).nonzero()[0].tolist() == [2, 3] and (x.tags == 17).any(axis=0).nonzero()[0].tolist() == [0] and (x.tags == 19).any(axis=0).nonzero()[0].tolist() == [6]
     assert x.hash[-2:].tolist() == [int(M.SITE), int(M.NUMBER)] and (x.key == 0).tolist() == x.blank.tolist()
-    assert M.Lines([], []).pages() <= 1 and len(M.furniture([], [], [], (np.empty(0, np.int64), np.empty(0)), np.empty((2, 0), np.int64), np.empty((2, 0), np.int64))[0]) == 0
+    assert M.Lines([], []).pages() <= 1 and len(M.furniture([], [], [], (np.empty(0, np.int64), np.empty(0)), None, (np.empty(0, np.int64),) * 2)[0]) == 0
 
 
 def test_lines_are_known_from_all_pages(spark, monkeypatch):
@@ -81,3 +81,10 @@ def test_lines_are_known_from_all_pages(spark, monkeypatch):
     monkeypatch.setattr(M, "SAMPLE_PAGES", 40)
     found = {r.result_id for r in M.furniture_lines(df).filter("line_no = 9").collect()}
     assert found >= {f"p{k}" for k in range(0, 200, 40)}
+
+
+def test_more_lines_than_may_be_broadcast(spark, monkeypatch):
+    df = fixture(spark)
+    whole = sorted(map(tuple, M.furniture_lines(df).collect())), sorted(map(tuple, M.main_bodies(df).collect()))
+    monkeypatch.setattr(M, "BROADCAST_LINES", 0)
+    assert (sorted(map(tuple, M.furniture_lines(df).collect())), sorted(map(tuple, M.main_bodies(df).collect()))) == whole
