@@ -33,8 +33,6 @@ CONFUSIONS = [
 RATIO, SHORT_RATIO, MARKED_RATIO = 5, 20, 1
 #: The same, and the letters of a word at least, for a word with two confusions.
 DOUBLE_RATIO, DOUBLE_LETTERS = 20, 7
-#: Rare words of scans, and as many of other texts, that confusions are learned from, at most.
-LEARN_WORDS = 100_000
 #: How often a rare word may occur and how often a frequent one must to be learned from; pairs of words that make a
 #: confusion, and how much more frequent it must be in scans than elsewhere.
 RARE, FREQUENT, PAIRS, CONTRAST = 2, 20, 5, 4
@@ -244,15 +242,13 @@ def learned(vocabulary: DataFrame) -> list[tuple[str, str]]:
     """Confusions (read, true) of ``vocabulary(word, n, scanned)`` beyond the known ones.
 
     A rare word that differs from a frequent one in a part of one or two characters makes a pair of parts.  Parts that
-    pair far more often in words that only scans have than in words that no scan has are a confusion.  It is fitted on
-    at most ``LEARN_WORDS`` rare words of either kind, so that there are at most ``LEARN_WORDS / PAIRS``.
+    pair far more often in words that only scans have than in words that no scan has are a confusion.  Every rare word of
+    either kind counts.
     """
     plain = vocabulary.filter(F.length("word").between(4, 20) & F.col("word").rlike(r"^[\p{L}0-9!(]+$"))
     # all characters of a rare word may be misread, those of a frequent one are letters
     kinds = F.when(F.col("scanned") == F.col("n"), "scan").when(F.col("scanned") == 0, "other")
     rare = plain.filter(F.col("n") <= RARE).select("word", kinds.alias("kind")).filter("kind is not null")
-    sample = lambda kind: rare.filter(F.col("kind") == kind).orderBy(F.xxhash64("word")).limit(LEARN_WORDS)
-    rare = sample("scan").union(sample("other"))
     frequent = plain.filter((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^\p{L}+$"))
     left = rare.select("kind", F.col("word").alias("rare"), F.inline(holes(F.col("word")))).withColumnRenamed("part", "read")
     right = frequent.select("word", "n", F.inline(holes(F.col("word")))).withColumnRenamed("part", "true")

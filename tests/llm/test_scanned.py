@@ -1,5 +1,6 @@
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from tessera.llm import scanned as S
 
@@ -74,6 +75,14 @@ def test_confusions_are_learned_from_scans_only(spark):
     assert S.learned(spark.createDataFrame([], "word string, n bigint, scanned bigint")) == []
 
 
+def test_confusions_are_learned_from_every_rare_word(spark):
+    letters = F.translate(F.format_string("%06d", "id"), "0123456789", "bcdfghjklm")
+    rare = spark.range(300_000).select(letters.alias("word"), F.lit(1).cast("bigint").alias("n"), (F.col("id") % 2).alias("scanned"))  # half of them in scans
+    words = [(f"{w}ua", 50, 0) for w in ("nopq", "rstu", "wxyz", "pqno", "turs")]  # each misread once, which is just enough
+    known = spark.createDataFrame(words + [(w.replace("ua", "va"), 1, 1) for w, _, _ in words], "word string, n bigint, scanned bigint")
+    assert S.learned(rare.union(known)) == [("v", "u")]
+
+
 def test_spared_words_change_nothing(spark, monkeypatch):
     texts = [("a", "d1", None, "text", "the archiv-\ne of qx0rv and tbe ab0ut qx0rv a(b l966")] + [(f"c{k}", "d0", None, "text", BODY + " about the") for k in range(30)]
     df = spark.createDataFrame(texts, "id string, document_id string, section_path string, chunk_type string, content string")
